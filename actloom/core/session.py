@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the reliable checkpoint folder and goes on from the written rows.
+    """Writes df as a table to the shared checkpoint folder and goes on from the written rows.
 
-    Iterative operators call it once a round: a lost executor then costs a re-read, not
-    the replay of all rounds.
+    Iterative operators call it once a round: a lost executor then costs a re-read, not the
+    replay of all rounds. A written table is taken rather than checkpoint(), which hands on the
+    estimated size and constraints of the plan before it; over the rounds of a loop those grow
+    exponentially, while a table has the size of its files. The files go when the application ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
