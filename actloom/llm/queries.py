@@ -7,8 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, packing
+from actloom.llm import bpe, grouped_split, packing
+
+
+STAND_INS = {"document_id": "pair_id"}
+
+
+def strategies(spark: SparkSession, sf_dir: str) -> list[grouped_split.Strategy]:
+    """The rows of split_info; one a strategy, so they may come to the driver."""
+    rows = load(spark, sf_dir, "split_info").select("split_strategy", "metadata.*").collect()
+    return [
+        grouped_split.Strategy(
+            r["split_strategy"],
+            tuple(x.strip() for x in (r["group_attr"] or "").split("+") if x.strip()),
+            (r["train_share"], r["validation_share"], r["test_share"]),
+            r["seed"] or 0,
+            STAND_INS,
+        )
+        for r in rows
+    ]
+
+
+def examples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row per strategy and example, however many models and deliveries there are."""
+    df = load(spark, sf_dir, "predictions", "split_strategy", "example_id", *columns)
+    return df.groupBy("split_strategy", "example_id").agg(*[F.min(c).alias(c) for c in columns])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tied = [s for s in strategies(spark, sf_dir) if s.fields]
+    rows = examples(spark, sf_dir, "split", "document_id", "pair_id")
+    return grouped_split.parted_groups(grouped_split.with_groups(rows, tied)).select("split_strategy", "example_id")
+
+
+def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example with the split it is given to under each strategy."""
+    plans = strategies(spark, sf_dir)
+    grouped = cut_lineage(grouped_split.with_groups(examples(spark, sf_dir, "document_id", "pair_id"), plans))
+    given = grouped_split.assign(grouped, plans)
+    return grouped.join(given, ["split_strategy", "group_key"]).select("split_strategy", "example_id", "group_key", F.col("assigned").alias("split"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +64,29 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_assigned": p1_assigned,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """
+WITH RECURSIVE e AS (
+  SELECT split_strategy s, example_id x, min(split) split,
+         nullif(min(lower(regexp_replace(document_id, '^[\\s]+|[\\s]+$', '', 'g'))), '') d,
+         nullif(min(lower(regexp_replace(pair_id, '^[\\s]+|[\\s]+$', '', 'g'))), '') p
+  FROM predictions GROUP BY 1, 2),
+a AS (SELECT e.*, metadata.group_attr g FROM e JOIN split_info i ON i.split_strategy = e.s WHERE metadata.group_attr IS NOT NULL),
+n AS (SELECT s, x, split, g,
+        CASE g WHEN 'pair_id' THEN 'p' || p ELSE coalesce('d' || d, 'p' || p) END AS fst,
+        CASE WHEN g LIKE '%+%' AND d IS NOT NULL THEN 'p' || p END AS snd FROM a),
+l AS (SELECT DISTINCT s, fst u, snd v FROM n WHERE snd IS NOT NULL),
+b AS (SELECT s, u, v FROM l UNION SELECT s, v, u FROM l),
+r AS (SELECT s, u, u AS v FROM b UNION SELECT r.s, r.u, b.v FROM r JOIN b ON b.s = r.s AND b.u = r.v),
+c AS (SELECT s, u, min(v) root FROM r GROUP BY 1, 2),
+k AS (SELECT n.s, x, split, coalesce(root, fst, 'x' || x) grp FROM n LEFT JOIN c ON c.s = n.s AND c.u = fst)
+SELECT s AS split_strategy, x AS example_id FROM k
+WHERE (s, grp) IN (SELECT (s, grp) FROM k GROUP BY s, grp HAVING count(DISTINCT split) > 1)
+""",
+}
