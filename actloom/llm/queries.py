@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, grouped_split, packing
+from actloom.llm import bpe, grouped_split, packing, unicode_form
 
 
 STAND_INS = {"document_id": "pair_id"}
@@ -50,6 +50,24 @@ def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(given, ["split_strategy", "group_key"]).select("split_strategy", "example_id", "group_key", F.col("assigned").alias("split"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = load(spark, sf_dir, "annotation", "annotation_id", "old_text", "new_text")
+    changes = unicode_form.same_look(pairs, "old_text", "new_text").select(F.lit("annotation").alias("record_kind"), F.col("annotation_id").alias("record_id")).distinct()
+    texts = load(spark, sf_dir, "document_versions", "version_id", "document_id", "version_number", "extracted_text")
+    versions = unicode_form.same_look_as_previous(texts, "document_id", "version_number", "extracted_text", "version_id")
+    return changes.unionByName(versions.select(F.lit("version").alias("record_kind"), F.col("version_id").alias("record_id")))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of document_versions and annotation in its one form."""
+    pairs = load(spark, sf_dir, "annotation", "annotation_id", "old_text", "new_text")
+    texts = load(spark, sf_dir, "document_versions", "version_id", "extracted_text")
+    fields = F.explode(F.array(F.struct(F.lit("old_text").alias("field"), F.col("old_text").alias("text")), F.struct(F.lit("new_text").alias("field"), F.col("new_text").alias("text"))))
+    rows = pairs.select(F.lit("annotation").alias("record_kind"), F.col("annotation_id").alias("record_id"), fields.alias("x")).select("record_kind", "record_id", "x.*")
+    rows = rows.unionByName(texts.select(F.lit("version").alias("record_kind"), F.col("version_id").alias("record_id"), F.lit("extracted_text").alias("field"), F.col("extracted_text").alias("text")))
+    return rows.select("record_kind", "record_id", "field", unicode_form.form(F.col("text")).alias("form"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -66,6 +84,8 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assigned": p1_assigned,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
 }
