@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, grouped_split, packing, unicode_form
+from actloom.llm import bpe, grouped_split, packing, sentences, unicode_form
 
 
 STAND_INS = {"document_id": "pair_id"}
@@ -50,6 +50,16 @@ def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(given, ["split_strategy", "group_key"]).select("split_strategy", "example_id", "group_key", F.col("assigned").alias("split"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = load(spark, sf_dir, "document_versions", "version_id", "normalized_text")
+    chunks = load(spark, sf_dir, "chunks", "chunk_id", "text")
+    model = sentences.train(versions, "normalized_text")
+    rows = versions.select(F.struct(F.lit("version").alias("kind"), F.col("version_id").alias("id")).alias("record"), F.col("normalized_text").alias("text"))
+    rows = rows.unionByName(chunks.select(F.struct(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")).alias("record"), "text"))
+    units = sentences.split_sentences(rows, "record", "text", model)
+    return units.select(F.col("record.kind").alias("record_kind"), F.col("record.id").alias("record_id"), "char_start", "char_end")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = load(spark, sf_dir, "annotation", "annotation_id", "old_text", "new_text")
     changes = unicode_form.same_look(pairs, "old_text", "new_text").select(F.lit("annotation").alias("record_kind"), F.col("annotation_id").alias("record_id")).distinct()
@@ -84,6 +94,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assigned": p1_assigned,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p6_ids": p6_ids,
