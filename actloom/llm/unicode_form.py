@@ -8,12 +8,14 @@ wanted, full case folding. It is worked out once per distinct value of an Arrow
 from __future__ import annotations
 
 import functools
-import hashlib
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,52 @@ def one_form(text: str, fold_case: bool = True, shapes: bool = True) -> str:
     return unicodedata.normalize("NFC", out.translate(back))
 
 
+DROP, EXPANDS, MARK, LATIN_MARK = 1, 2, 3, 4
+
+
+@functools.cache
+def _lookup(fold_case: bool, shapes: bool) -> tuple[np.ndarray, np.ndarray, re.Pattern[str]]:
+    """The form of every single code point: what it becomes, what kind it is, and those that become several."""
+    to = np.arange(0x110000, dtype=np.uint32)
+    kind = np.zeros(0x110000, np.uint8)
+    several = []
+    for c in [*range(0x41, 0x5B), *range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)]:
+        ch = chr(c)
+        form = one_form(ch, fold_case, shapes)
+        if not form:
+            kind[c] = DROP
+        elif len(form) > 1:
+            kind[c] = EXPANDS
+            several.append(ch)
+        else:
+            to[c] = ord(form)
+            if unicodedata.combining(ch) or 0x1100 <= c < 0x1200:
+                kind[c] = LATIN_MARK if 0x300 <= c < 0x370 else MARK
+    return to, kind, re.compile("[" + "".join(several) + "]")
+
+
+def form_points(text: str, fold_case: bool = False, shapes: bool = True) -> np.ndarray:
+    """The code points of one_form, by table look-up; only texts with marks or ligatures are composed again."""
+    to, kind, several = _lookup(fold_case, shapes)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kind[points]
+    top = int(kinds.max(initial=0))
+    if not top:
+        return to[points]
+    dropped = kinds == DROP
+    if dropped.any():
+        points = points[~dropped]
+    if top == DROP:
+        return to[points]
+    text = unicodedata.normalize("NFC", points.tobytes().decode("utf-32-le", "surrogatepass"))
+    text = several.sub(lambda m: one_form(m.group(), fold_case, shapes), text)
+    out = to[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if top == LATIN_MARK:  # a letter that changed its alphabet may now compose with its accent
+        text = unicodedata.normalize("NFC", out.tobytes().decode("utf-32-le", "surrogatepass"))
+        out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
 def per_distinct(fn: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
     """A Column function that works fn out once per distinct value of a batch; null stays null."""
 
@@ -79,13 +127,17 @@ def per_distinct(fn: Callable[[str], object], kind: str) -> Callable[[Column], C
     return mapped
 
 
-def form(text: Column, fold_case: bool = True, shapes: bool = True) -> Column:
-    """STRING one_form of a column."""
-    return per_distinct(functools.partial(one_form, fold_case=fold_case, shapes=shapes), "string")(text)
+def _form(text: str, fold_case: bool, shapes: bool) -> str:
+    return text if text.isascii() and not fold_case else form_points(text, fold_case, shapes).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _digest(text: str, fold_case: bool, shapes: bool) -> bytes:
-    return hashlib.blake2b(one_form(text, fold_case, shapes).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(form_points(text, fold_case, shapes).tobytes())
+
+
+def form(text: Column, fold_case: bool = True, shapes: bool = True) -> Column:
+    """STRING one_form of a column."""
+    return per_distinct(functools.partial(_form, fold_case=fold_case, shapes=shapes), "string")(text)
 
 
 def form_key(text: Column, fold_case: bool = False, shapes: bool = True) -> Column:
