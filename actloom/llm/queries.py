@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, grouped_split, packing, sentences, unicode_form
+from actloom.llm import bpe, grouped_split, packing, quality, sentences, unicode_form
 
 
 STAND_INS = {"document_id": "pair_id"}
@@ -91,6 +91,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, container_size(spark, sf_dir), bpe.token_count)
 
 
+def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "common_words", "lang", "word").collect()  # a fixed table of about 165 rows
+    common = quality.CommonWords.of([(r["lang"], r["word"]) for r in rows])
+    return quality.document_stats(load(spark, sf_dir, "documents", "doc_id", "text"), common)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_stats(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_stats(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assigned": p1_assigned,
@@ -99,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 SQL: dict[str, str] = {
