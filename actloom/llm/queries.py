@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, grouped_split, packing, quality, sentences, unicode_form
+from actloom.llm import bpe, grouped_split, packing, quality, segment, sentences, unicode_form
 
 
 STAND_INS = {"document_id": "pair_id"}
@@ -50,6 +50,36 @@ def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(given, ["split_strategy", "group_key"]).select("split_strategy", "example_id", "group_key", F.col("assigned").alias("split"))
 
 
+def sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every normalized_text and chunk text with its row of size_limits (a fixed table of 11 rows)."""
+    limits = {r["item_kind"]: (r["max_size"], r["overlap_size"]) for r in load(spark, sf_dir, "size_limits").where("unit = 'chars'").collect()}
+    kind = F.lower(F.regexp_replace("fragment_type", r"(?U)^\s+|\s+$", ""))
+    kind = F.when(kind.isin([*limits]), kind).otherwise("fallback_block")  # null, blank or unknown
+
+    def of(item: F.Column, which: int) -> F.Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[which])]), item)
+
+    versions = load(spark, sf_dir, "document_versions", "version_id", "normalized_text").select(
+        F.lit("version").alias("record_kind"), F.col("version_id").alias("record_id"), F.lit("version_text").alias("item_kind"), F.lit(None).cast("int").alias("chunk_index"), F.col("normalized_text").alias("text")
+    )
+    chunks = load(spark, sf_dir, "chunks", "chunk_id", "chunk_index", "fragment_type", "text").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), kind.alias("item_kind"), "chunk_index", "text")
+    return versions.unionByName(chunks).withColumns({"max_size": of(F.col("item_kind"), 0), "overlap_size": of(F.col("item_kind"), 1)})
+
+
+ITEM_KEYS = ["record_kind", "record_id", "item_kind", "chunk_index"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = segment.split_oversized(sized_items(spark, sf_dir), ITEM_KEYS, "text", "max_size", "overlap_size", with_text=False)
+    return pieces.groupBy("record_kind", "record_id").agg(F.max("hard_cut").alias("hard_cut"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all items that are too long, each item once."""
+    pieces = segment.split_oversized(sized_items(spark, sf_dir), ITEM_KEYS, "text", "max_size", "overlap_size")
+    return pieces.dropDuplicates(["record_kind", "record_id", "piece_index"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = load(spark, sf_dir, "document_versions", "version_id", "normalized_text")
     chunks = load(spark, sf_dir, "chunks", "chunk_id", "text")
@@ -108,6 +138,8 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assigned": p1_assigned,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
@@ -118,6 +150,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p2_found": """
+WITH items AS (
+  SELECT 'version' AS record_kind, version_id AS record_id, normalized_text AS text, 'version_text' AS kind FROM document_versions
+  UNION ALL
+  SELECT 'chunk', chunk_id, text, coalesce(nullif(lower(regexp_replace(fragment_type, '^\\s+|\\s+$', '', 'g')), ''), 'fallback_block') FROM chunks),
+long AS (SELECT DISTINCT record_kind, record_id, text, max_size FROM items JOIN size_limits ON item_kind = kind WHERE length(text) > max_size)
+SELECT record_kind, record_id,
+       max(CAST(list_max(list_transform(string_split_regex(text, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}.!?…。！？।۔؟]'), x -> length(x))) > max_size AS INT)) AS hard_cut
+FROM long GROUP BY 1, 2
+""",
     "p1_found": """
 WITH RECURSIVE e AS (
   SELECT split_strategy s, example_id x, min(split) split,
