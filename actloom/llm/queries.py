@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 from actloom.core.tables import load
-from actloom.llm import bpe, grouped_split, packing, quality, segment, sentences, unicode_form
+from actloom.llm import bpe, grouped_split, overlap, packing, quality, segment, sentences, unicode_form
 
 
 STAND_INS = {"document_id": "pair_id"}
@@ -108,6 +108,19 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_kind", "record_id", "field", unicode_form.form(F.col("text")).alias("form"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "predictions", "split_strategy", "example_id", "text", "split")
+    pairs = overlap.cross_split_overlaps(rows, "split_strategy", "example_id", "text", "split")
+    return pairs.select("split_strategy", F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many examples of validation and test overlap with train, per strategy, split and source."""
+    rows = load(spark, sf_dir, "predictions", "split_strategy", "example_id", "text", "split", "source")
+    pairs = overlap.cross_split_overlaps(rows, "split_strategy", "example_id", "text", "split")
+    return overlap.overlap_report(pairs, rows, "split_strategy", "example_id", "split", "source")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -143,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
@@ -157,7 +172,7 @@ WITH items AS (
   SELECT 'chunk', chunk_id, text, coalesce(nullif(lower(regexp_replace(fragment_type, '^\\s+|\\s+$', '', 'g')), ''), 'fallback_block') FROM chunks),
 long AS (SELECT DISTINCT record_kind, record_id, text, max_size FROM items JOIN size_limits ON item_kind = kind WHERE length(text) > max_size)
 SELECT record_kind, record_id,
-       max(CAST(list_max(list_transform(string_split_regex(text, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}.!?…。！？।۔؟]'), x -> length(x))) > max_size AS INT)) AS hard_cut
+       max(CAST(list_max(list_transform(string_split_regex(text, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}.!?…。！？।۔؟]'), lambda x: length(x))) > max_size AS INT)) AS hard_cut
 FROM long GROUP BY 1, 2
 """,
     "p1_found": """
