@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from actloom.plans import diff_queries, text_queries  # noqa: F401
+from actloom.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "D13_version_diff"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

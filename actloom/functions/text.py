@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that are brought to a plain space or hyphen, and those that are dropped.
 SPACES = "      "
@@ -21,7 +22,7 @@ CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f]"
 CONTROLS_BUT_PAGE = r"[\x00-\x08\x0b\x0e-\x1f\x7f]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Canonical composition; there is no built-in for it."""
     for batch in texts:

@@ -1,21 +1,19 @@
 """Comparison of two versions of a document, for all pairs of a corpus at once.
 
-The unit of work is a table of pairs. Anchored matches are ranked equi-joins: the k-th old chunk
-of a key meets the k-th new one. What is left over is scored within its pair by an Arrow function
-and assigned greedily, the one step that depends on order.
+The unit of work is a table of pairs; the chunks of a pair come together in one shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher, unified_diff
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from actloom.core.session import keep
+from pyspark.sql import types as T
 
 ANCHORS = ("path_key", "canonical_label", "section_path")
 HIGH, TEXT, SECTION = 0.97, 0.82, 0.55
@@ -40,65 +38,7 @@ def invalid_pairs(pairs: DataFrame, versions: DataFrame) -> DataFrame:
     return pairs.join(a, "from_id", "left").join(b, "to_id", "left").withColumn("reason", reason).where("reason is not null").select("from_id", "to_id", "reason")
 
 
-def anchor(name: str) -> Column:
-    """S05. The key by which chunks meet under an anchor; null if the chunk lacks it."""
-    parts = {"path_key": ["path_key"], "canonical_label": ["canonical_label"], "section_path": ["heading", "section_path"], "same_index": ["chunk_index"]}[name]
-    filled = [F.when(F.length(F.col(p).cast("string")) > 0, F.col(p).cast("string")) for p in parts]
-    key = F.concat_ws("|", F.coalesce("fragment_type", F.lit("")), *filled)
-    out = F.lit(True)
-    for p in filled:
-        out = out & p.isNotNull()
-    return F.when(out, key)
-
-
-def has_anchor() -> Column:
-    return anchor("path_key").isNotNull() | anchor("canonical_label").isNotNull() | anchor("section_path").isNotNull()
-
-
-def ranked_join(old: DataFrame, new: DataFrame, keys: list[str], key: Column) -> DataFrame:
-    """(pair_id, old_id, new_id): the k-th old and the k-th new chunk of the same keys and anchor."""
-    w = Window.partitionBy("pair_id", *keys, "_key").orderBy("chunk_index", "chunk_id")
-    side = lambda df, name: df.withColumn("_key", key).where("_key is not null").select("pair_id", *keys, "_key", F.row_number().over(w).alias("_k"), F.col("chunk_id").alias(name))
-    return side(old, "old_id").join(side(new, "new_id"), ["pair_id", *keys, "_key", "_k"]).select("pair_id", "old_id", "new_id")
-
-
-def without(df: DataFrame, matched: DataFrame, id_col: str) -> DataFrame:
-    used = matched.select("pair_id", F.col(id_col).alias("chunk_id"))
-    return df.join(used, ["pair_id", "chunk_id"], "left_anti")
-
-
-def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D04, D05. (pair_id, old_id, new_id) of unchanged chunks: equal hashes, by anchor after anchor,
-    then by index; of the rest, chunks without any anchor in order, or a single one on each side."""
-    found = None
-    for name in (*ANCHORS, "same_index"):
-        step = keep(ranked_join(old, new, ["text_hash"], anchor(name)))
-        old, new = keep(without(old, step, "old_id")), keep(without(new, step, "new_id"))
-        found = step if found is None else found.unionByName(step)
-    both = old.select("pair_id", "text_hash", "chunk_id", "chunk_index", has_anchor().alias("_a"), F.lit(0).alias("_side")).unionByName(
-        new.select("pair_id", "text_hash", "chunk_id", "chunk_index", has_anchor().alias("_a"), F.lit(1).alias("_side"))
-    )
-    group = Window.partitionBy("pair_id", "text_hash")
-    order = Window.partitionBy("pair_id", "text_hash", "_side").orderBy("chunk_index", "chunk_id")
-    rest = both.withColumns(
-        {"_any": F.max("_a").over(group), "_n0": F.count_if(F.col("_side") == 0).over(group), "_n1": F.count_if(F.col("_side") == 1).over(group), "_k": F.row_number().over(order)}
-    ).where("_n0 > 0 and _n1 > 0 and (not _any or (_n0 = 1 and _n1 = 1))")
-    a = rest.where("_side = 0").select("pair_id", "text_hash", "_k", F.col("chunk_id").alias("old_id"))
-    b = rest.where("_side = 1").select("pair_id", "text_hash", "_k", F.col("chunk_id").alias("new_id"))
-    return found.unionByName(a.join(b, ["pair_id", "text_hash", "_k"]).select("pair_id", "old_id", "new_id"))
-
-
-def anchored_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D06. (pair_id, old_id, new_id, match_reason) of chunks with other text and the same anchor."""
-    found = None
-    for name in ANCHORS:
-        step = keep(ranked_join(old, new, [], anchor(name)).withColumn("match_reason", F.lit(name)))
-        old, new = keep(without(old, step, "old_id")), keep(without(new, step, "new_id"))
-        found = step if found is None else found.unionByName(step)
-    return found
-
-
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def similarity(old: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """D09. Ratcliff-Obershelp ratio of (old, new), 1 for two empty texts, 0 for one. Not symmetric."""
     for a, b in old:
@@ -111,74 +51,125 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def scored_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D07, D08. (pair_id, old_id, new_id, similarity, match_reason) of leftovers that are alike, each
-    used once, the best first.
-
-    Candidates are cut down by equi-joins before any text is compared: a match needs the same
-    heading, section path or kind next to each other. Within a pair the greedy choice sees only
-    candidates that passed.
-    """
-    cols = ["pair_id", "chunk_id", "chunk_index", "fragment_type", "heading", "section_path", "text", "text_hash"]
-    a = old.select(*[F.col(c).alias(c if c == "pair_id" else f"o_{c}") for c in cols])
-    b = new.select(*[F.col(c).alias(c if c == "pair_id" else f"n_{c}") for c in cols])
-    same = lambda c: F.coalesce((F.col(f"o_{c}") == F.col(f"n_{c}")) & (F.length(f"o_{c}") > 0), F.lit(False))
-    distance = F.abs(F.col("o_chunk_index") - F.col("n_chunk_index"))
-    kind = F.coalesce("o_fragment_type", F.lit("")) == F.coalesce("n_fragment_type", F.lit(""))
-    # three equi-joins instead of all pairs: one section path, one heading of a kind, or a place near by
-    a = a.withColumn("_kind", F.coalesce("o_fragment_type", F.lit("")))
-    b = b.withColumn("_kind", F.coalesce("n_fragment_type", F.lit("")))
-    filled = lambda df, c: df.withColumn("_key", F.col(c)).where(F.length("_key") > 0)
-    near_by = b.withColumn("_key", F.explode(F.array(*[F.col("n_chunk_index") + d for d in range(-2, 3)])))
-    met = filled(a, "o_section_path").join(filled(b.drop("_kind"), "n_section_path"), ["pair_id", "_key"]).drop("_key")
-    met = met.unionByName(filled(a, "o_heading").join(filled(b, "n_heading"), ["pair_id", "_kind", "_key"]).drop("_key"))
-    met = met.unionByName(a.withColumn("_key", F.col("o_chunk_index")).join(near_by, ["pair_id", "_kind", "_key"]).drop("_key"))
-    gates = met.where(~F.col("o_text_hash").eqNullSafe(F.col("n_text_hash"))).dropDuplicates(["pair_id", "o_chunk_id", "n_chunk_id"])
-    cand = gates.withColumn("similarity", similarity("o_text", "n_text"))
-    reason = F.when(same("section_path") & (F.col("similarity") >= SECTION), "section_path").when(same("heading") & kind & (F.col("similarity") >= TEXT), "heading").when(kind & (F.col("similarity") >= HIGH) & (distance <= 2), "high_text_similarity")
-    near = F.when(distance == 0, 0.10).when(distance == 1, 0.07).when(distance <= 3, 0.03).otherwise(0.0)
-    score = F.col("similarity") + near + F.when(kind, 0.05).otherwise(0.0) + F.when(same("section_path"), 0.20).otherwise(0.0) + F.when(same("heading"), 0.10).otherwise(0.0)
-    cand = cand.select("pair_id", F.col("o_chunk_id").alias("old_id"), F.col("n_chunk_id").alias("new_id"), F.col("o_chunk_index").alias("oi"), F.col("n_chunk_index").alias("ni"), "similarity", score.alias("score"), reason.alias("match_reason")).where("match_reason is not null")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(gap=(pdf.oi - pdf.ni).abs()).sort_values(["score", "similarity", "gap", "oi", "ni"], ascending=[False, False, True, True, True], kind="stable")
-        old_used, new_used, rows = set(), set(), []
-        for r in pdf.itertuples():
-            if r.old_id not in old_used and r.new_id not in new_used:
-                old_used.add(r.old_id)
-                new_used.add(r.new_id)
-                rows.append((r.pair_id, r.old_id, r.new_id, r.similarity, r.match_reason))
-        return pd.DataFrame(rows, columns=["pair_id", "old_id", "new_id", "similarity", "match_reason"])
-
-    return cand.groupBy("pair_id").applyInPandas(choose, "pair_id bigint, old_id bigint, new_id bigint, similarity double, match_reason string")
-
-
-def version_diff(pairs: DataFrame, chunks: DataFrame, scored: bool = True) -> DataFrame:
-    """D13. One row for every change of every pair: pair_id, operation, old_id, new_id, similarity, match_reason.
+def anchor_key(row: dict, name: str) -> tuple | None:
+    """S05. The key by which chunks meet under an anchor; None if the chunk lacks it."""
+    kind = row["fragment_type"] or ""
+    if name == "section_path":
+        return (kind, row["heading"], row["section_path"]) if row["heading"] and row["section_path"] else None
+    value = row["chunk_index"] if name == "same_index" else row[name]
+    return (kind, value) if value or name == "same_index" and value is not None else None
+
+
+class Pairing:
+    """The chunks of two versions that have no partner yet, in order."""
+
+    def __init__(self, old: list[dict], new: list[dict]):
+        place = lambda r: (r["chunk_index"] if r["chunk_index"] is not None else 1 << 30, r["chunk_id"])
+        self.old = {r["chunk_id"]: r for r in sorted(old, key=place)}
+        self.new = {r["chunk_id"]: r for r in sorted(new, key=place)}
+
+    def take(self, a: dict, b: dict) -> tuple[dict, dict]:
+        del self.old[a["chunk_id"]], self.new[b["chunk_id"]]
+        return a, b
+
+    def by_key(self, key: Callable[[dict], tuple | None]) -> Iterator[tuple[dict, dict]]:
+        """The k-th old and the k-th new chunk of each key."""
+        waiting: dict[tuple, list[dict]] = defaultdict(list)
+        for r in self.old.values():
+            if (k := key(r)) is not None:
+                waiting[k].append(r)
+        met = []
+        for r in self.new.values():
+            if (k := key(r)) is not None and waiting.get(k):
+                met.append((waiting[k].pop(0), r))
+        for a, b in met:
+            yield self.take(a, b)
+
+    def exact(self) -> Iterator[tuple[dict, dict, str]]:
+        """D04, D05. Equal hashes: by anchor after anchor and index, then in order where nothing has an
+        anchor, or a single one on each side."""
+        for name in (*ANCHORS, "same_index"):
+            for a, b in self.by_key(lambda r, n=name: (r["text_hash"], k) if r["text_hash"] and (k := anchor_key(r, n)) else None):
+                yield a, b, name
+        groups: dict[str, tuple[list[dict], list[dict]]] = defaultdict(lambda: ([], []))
+        for side, rows in enumerate((self.old, self.new)):
+            for r in rows.values():
+                if r["text_hash"]:
+                    groups[r["text_hash"]][side].append(r)
+        for a, b in groups.values():
+            free = not any(anchor_key(r, n) for r in (*a, *b) for n in ANCHORS)
+            if a and b and (free or len(a) == len(b) == 1):
+                for x, y in zip(a, b):
+                    yield *self.take(x, y), "text_hash"
+
+    def anchored(self) -> Iterator[tuple[dict, dict, str]]:
+        """D06. Other text under the same anchor."""
+        for name in ANCHORS:
+            for a, b in self.by_key(lambda r, n=name: anchor_key(r, n)):
+                yield a, b, name
+
+    def scored(self) -> Iterator[tuple[dict, dict, str, float]]:
+        """D07, D08. Leftovers that are alike, the best first. Only pairs with one section path, one
+        heading of a kind, or a place near by are compared."""
+        cands = []
+        paths, headings, places = defaultdict(list), defaultdict(list), defaultdict(list)
+        for r in self.new.values():
+            kind = r["fragment_type"] or ""
+            paths[r["section_path"] or None].append(r)
+            headings[kind, r["heading"] or None].append(r)
+            places[kind, r["chunk_index"]].append(r)
+        for a in self.old.values():
+            kind, at = a["fragment_type"] or "", a["chunk_index"] or 0
+            near = [r for d in range(-2, 3) for r in places.get((kind, at + d), ())]
+            near += paths[a["section_path"]] if a["section_path"] else []
+            near += headings[kind, a["heading"]] if a["heading"] else []
+            for b in {r["chunk_id"]: r for r in near}.values():
+                if a["text_hash"] and a["text_hash"] == b["text_hash"]:
+                    continue
+                alike = ratio(a["text"] or "", b["text"] or "")
+                gap = abs(at - (b["chunk_index"] or 0))
+                same_kind = kind == (b["fragment_type"] or "")
+                path = bool(a["section_path"]) and a["section_path"] == b["section_path"]
+                head = bool(a["heading"]) and a["heading"] == b["heading"]
+                reason = "section_path" if path and alike >= SECTION else "heading" if head and same_kind and alike >= TEXT else "high_text_similarity" if same_kind and alike >= HIGH and gap <= 2 else None
+                if reason:
+                    score = alike + {0: 0.10, 1: 0.07, 2: 0.03, 3: 0.03}.get(gap, 0.0) + 0.05 * same_kind + 0.20 * path + 0.10 * head
+                    cands.append((-score, -alike, gap, at, b["chunk_index"] or 0, a["chunk_id"], b["chunk_id"], reason))
+        for _, alike, *_, i, j, reason in sorted(cands):
+            if i in self.old and j in self.new:
+                yield *self.take(self.old[i], self.new[j]), reason, -alike
+
+
+CHANGES = "pair_id bigint, stage string, operation string, old_id bigint, new_id bigint, similarity double, match_reason string"
+
+
+def version_diff(pairs: DataFrame, chunks: DataFrame, scored: bool = True, rated: bool = True) -> DataFrame:
+    """D13. One row for every chunk match and leftover of every pair: CHANGES.
 
     pairs: pair_id, from_id, to_id. chunks: version_id and CHUNK_COLUMNS. Unchanged chunks are rows
-    too (operation 'unchanged'), so counts need no second pass. Without `scored` leftovers are
-    removed and added.
+    too (stage 'hash'), so counts need no second pass. Every pass depends on what the passes before
+    have used up; as joins that is a chain of anti-joins, each a shuffle. The chunks of a pair, bounded
+    by the two versions, therefore come together once, and the passes run over them in memory.
+    Without `scored` leftovers are removed and added; without `rated` and `scored` texts are not shuffled.
     """
-    chunks = chunks.select("version_id", *CHUNK_COLUMNS)
-    old = keep(pairs.select("pair_id", F.col("from_id").alias("version_id")).join(chunks, "version_id"))
-    new = keep(pairs.select("pair_id", F.col("to_id").alias("version_id")).join(chunks, "version_id"))
-    null = F.lit(None)
-    same = keep(exact_matches(old, new))
-    left_old, left_new = keep(without(old, same, "old_id")), keep(without(new, same, "new_id"))
-    changed = keep(anchored_matches(left_old, left_new))
-    left_old, left_new = keep(without(left_old, changed, "old_id")), keep(without(left_new, changed, "new_id"))
-    out = same.select("pair_id", F.lit("unchanged").alias("operation"), "old_id", "new_id", F.lit(1.0).alias("similarity"), null.cast("string").alias("match_reason"))
-    texts = lambda df, i, t: df.select("pair_id", F.col("chunk_id").alias(i), F.col("text").alias(t))
-    rated = changed.join(texts(old, "old_id", "_a"), ["pair_id", "old_id"]).join(texts(new, "new_id", "_b"), ["pair_id", "new_id"])
-    out = out.unionByName(rated.select("pair_id", F.lit("modified").alias("operation"), "old_id", "new_id", F.bround(similarity("_a", "_b"), 4).alias("similarity"), "match_reason"))
-    if scored:
-        more = keep(scored_matches(left_old, left_new))
-        left_old, left_new = without(left_old, more, "old_id"), without(left_new, more, "new_id")
-        out = out.unionByName(more.select("pair_id", F.lit("modified").alias("operation"), "old_id", "new_id", F.bround("similarity", 4).alias("similarity"), "match_reason"))
-    gone = left_old.select("pair_id", F.lit("removed").alias("operation"), F.col("chunk_id").alias("old_id"), null.cast("bigint").alias("new_id"), null.cast("double").alias("similarity"), null.cast("string").alias("match_reason"))
-    came = left_new.select("pair_id", F.lit("added").alias("operation"), null.cast("bigint").alias("old_id"), F.col("chunk_id").alias("new_id"), null.cast("double").alias("similarity"), null.cast("string").alias("match_reason"))
-    return out.unionByName(gone).unionByName(came)
+    version = F.explode(F.array(F.struct(F.col("from_id").alias("version_id"), F.lit(0).alias("side")), F.struct(F.col("to_id").alias("version_id"), F.lit(1).alias("side"))))
+    columns = [c for c in CHUNK_COLUMNS if c not in ("raw_label", *(() if scored or rated else ("text",)))]
+    rows = pairs.select(F.col("pair_id").cast("bigint").alias("pair_id"), version.alias("v")).select("pair_id", "v.*").join(chunks.select("version_id", *columns), "version_id").drop("version_id")
+
+    def match(table: pa.Table) -> pa.Table:
+        both: tuple[list[dict], list[dict]] = ([], [])
+        for r in table.to_pylist():
+            both[r["side"]].append(r)
+        left, key, out = Pairing(*both), table["pair_id"][0].as_py(), []
+        out += [(key, "hash", "unchanged", a["chunk_id"], b["chunk_id"], 1.0, None) for a, b, _ in left.exact()]
+        out += [(key, "anchor", "modified", a["chunk_id"], b["chunk_id"], round(ratio(a["text"] or "", b["text"] or ""), 4) if rated else None, why) for a, b, why in left.anchored()]
+        if scored:
+            out += [(key, "scored", "modified", a["chunk_id"], b["chunk_id"], round(alike, 4), why) for a, b, why, alike in left.scored()]
+        out += [(key, "left", "removed", i, None, None, None) for i in left.old] + [(key, "left", "added", None, i, None, None) for i in left.new]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+        return pa.table([pa.array([r[j] for r in out], kinds[j]) for j in range(7)], names=[c.split()[0] for c in CHANGES.split(", ")])
+
+    return rows.groupBy("pair_id").applyInArrow(match, CHANGES)
 
 
 def diff_counts(changes: DataFrame) -> DataFrame:
@@ -206,7 +197,7 @@ def document_fallback(pairs: DataFrame, versions: DataFrame, chunks: DataFrame)
     return both.select("pair_id", op.alias("operation"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def line_diff(sides: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """D12. Unified diff of the lines of two texts, without timestamps."""
     for a, b in sides:
