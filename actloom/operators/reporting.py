@@ -28,7 +28,7 @@ def verdict(percent: Column, passed_from: float = 70.0) -> Column:
 def group_report(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """I08. Per group of attempts: count, mean and best percent, pass rate."""
     return attempts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_attempts"), F.bround(F.avg("percent"), 2).alias("mean_percent"), F.max("percent").alias("best_percent"), F.bround(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate")
+        F.count(F.lit(1)).alias("n_attempts"), F.bround(F.avg("percent"), 6).alias("mean_percent"), F.max("percent").alias("best_percent"), F.bround(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate")
     )
 
 
