@@ -32,12 +32,12 @@ class Lexicon:
         return {label: functools.reduce(operator.add, [F.contains(t, F.lit(w)).cast("int") for t in low for w in words]) for label, words in self.entries.items()}
 
     def label(self, *texts: Column) -> Column:
-        scores = self.scores(*texts)
-        best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-        out = F.when(best == 0, self.default)
-        for label, score in scores.items():
-            out = out.when(score == best, label)
-        return out
+        """The label of the highest score. The scores are bound once, by a transform over one element,
+        so they are not worked out again for each branch."""
+        scores = F.array(F.array(*self.scores(*texts).values()))
+        names = F.array(*[F.lit(x) for x in self.entries])
+        pick = F.transform(scores, lambda s: F.when(F.array_max(s) == 0, self.default).otherwise(F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))))
+        return F.element_at(pick, 1)
 
     def sql(self, *texts: str) -> tuple[dict[str, str], str]:
         """The same for DuckDB: scores by label, and the CASE of the label."""

@@ -35,8 +35,8 @@ def summary(classes: DataFrame, keys: Sequence[str], digits: int = 4) -> DataFra
     """N04. Accuracy, macro and weighted F1 per key."""
     return classes.groupBy(*keys).agg(
         F.bround(safe_divide(F.sum("hits"), F.sum("support")), digits).alias("accuracy"),
-        F.bround(F.avg("f1"), digits + 2).alias("macro_f1"),  # of rounded values: more digits, or ties would decide
-        F.bround(safe_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), digits + 2).alias("weighted_f1"),
+        F.bround(F.avg("f1"), 12).alias("macro_f1"),  # of rounded values: more digits, or ties would decide
+        F.bround(safe_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), 12).alias("weighted_f1"),
         F.sum("support").alias("n"),
     )
 

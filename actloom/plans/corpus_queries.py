@@ -192,7 +192,7 @@ def n03(spark, sf_dir):
     return metrics.binary(predictions(spark, sf_dir, "true_label", "predicted_label"), ["model"], F.col("true_label").isin(*high), F.col("predicted_label").isin(*high))
 
 
-@query("N04_summary", f"WITH {_CLASSES} SELECT model, split_strategy, round_even(sum(hits) / sum(support)::DOUBLE, 4) AS accuracy, round_even(avg(f1), 6) AS macro_f1, round_even(sum(f1 * support) / sum(support)::DOUBLE, 6) AS weighted_f1, sum(support)::BIGINT AS n FROM m GROUP BY 1, 2")
+@query("N04_summary", f"WITH {_CLASSES} SELECT model, split_strategy, round_even(sum(hits) / sum(support)::DOUBLE, 4) AS accuracy, round_even(avg(f1), 12) AS macro_f1, round_even(sum(f1 * support) / sum(support)::DOUBLE, 12) AS weighted_f1, sum(support)::BIGINT AS n FROM m GROUP BY 1, 2")
 def n04(spark, sf_dir):
     return metrics.summary(classes(spark, sf_dir), ["model", "split_strategy"])
 
@@ -232,7 +232,7 @@ def n10(spark, sf_dir):
     return a.select("annotation_id", metrics.topic_covered(content_words(F.coalesce("description", F.lit("")), ("и", "в")), F.coalesce("new_text", "old_text")).alias("covered"))
 
 
-@query("N15_metric_long_table", f"WITH {_CLASSES}, s AS (SELECT model, split_strategy, round_even(sum(hits) / sum(support)::DOUBLE, 4) accuracy, round_even(avg(f1), 6) macro_f1 FROM m GROUP BY 1, 2) SELECT model, split_strategy, unnest(['accuracy', 'macro_f1']) AS metric, unnest([accuracy, macro_f1]) AS score FROM s")
+@query("N15_metric_long_table", f"WITH {_CLASSES}, s AS (SELECT model, split_strategy, round_even(sum(hits) / sum(support)::DOUBLE, 4) accuracy, round_even(avg(f1), 12) macro_f1 FROM m GROUP BY 1, 2) SELECT model, split_strategy, unnest(['accuracy', 'macro_f1']) AS metric, unnest([accuracy, macro_f1]) AS score FROM s")
 def n15(spark, sf_dir):
     s = metrics.summary(classes(spark, sf_dir), ["model", "split_strategy"])
     return long_form(s, ["model", "split_strategy"], ["accuracy", "macro_f1"]).select("model", "split_strategy", F.col("field").alias("metric"), F.col("value").cast("double").alias("score"))
