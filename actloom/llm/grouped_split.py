@@ -99,8 +99,10 @@ def with_groups(records: DataFrame, strategies: Sequence[Strategy], ns: str = "s
     """records with `group_key`: equal for records of a strategy that must not part.
 
     Records of a strategy that is not listed are left out. A record without a value in any of
-    its fields (null, empty, blank) is alone under a key of its own.
+    its fields (null, empty, blank) is alone under a key of its own. Other columns are kept, but
+    for a group_key that is there already: it is replaced. Repeated rows stay repeated.
     """
+    records = records.drop("group_key")
     depth = max([1, *(len(s.fields) for s in strategies)])
 
     def node(k: int) -> Column:
@@ -108,16 +110,16 @@ def with_groups(records: DataFrame, strategies: Sequence[Strategy], ns: str = "s
         return functools.reduce(lambda c, x: c.when(F.col(ns) == x[0], x[1]), cases, F.when(F.lit(False), F.lit(""))) if cases else F.lit(None).cast("string")
 
     listed = records.where(F.col(ns).isin([s.name for s in strategies]))
-    keyed = listed.select("*", *[node(k).alias(f"_n{k}") for k in range(depth)])
-    first = F.coalesce(*[F.col(f"_n{k}") for k in range(depth)])
-    keyed = keyed.withColumn("_first", first)
+    keyed = listed.select("*", *[node(k).alias(f"__n{k}") for k in range(depth)])
+    first = F.coalesce(*[F.col(f"__n{k}") for k in range(depth)])
+    keyed = keyed.withColumn("__first", first)
     if depth == 1:
-        return keyed.withColumn("group_key", F.coalesce("_first", F.concat(F.lit("alone="), F.col(id_col).cast("string")))).drop("_n0", "_first")
-    pairs = keyed.select(ns, "_first", F.explode(F.array(*[F.col(f"_n{k}") for k in range(1, depth)])).alias("b"))
-    roots = contract(pairs.select(ns, F.col("_first").alias("a"), "b"), ns).select(ns, F.col("node").alias("_first"), F.col("root").alias("_root"))
+        return keyed.withColumn("group_key", F.coalesce("__first", F.concat(F.lit("alone="), F.col(id_col).cast("string")))).drop("__n0", "__first")
+    pairs = keyed.select(ns, "__first", F.explode(F.array(*[F.col(f"__n{k}") for k in range(1, depth)])).alias("b"))
+    roots = contract(pairs.select(ns, F.col("__first").alias("a"), "b"), ns).select(ns, F.col("node").alias("__first"), F.col("root").alias("__root"))
     return (
-        keyed.join(roots, [ns, "_first"], "left")
-        .withColumn("group_key", F.coalesce("_root", "_first", F.concat(F.lit("alone="), F.col(id_col).cast("string"))))
+        keyed.join(roots, [ns, "__first"], "left")
+        .withColumn("group_key", F.coalesce("__root", "__first", F.concat(F.lit("alone="), F.col(id_col).cast("string"))))
         .select(*records.columns, "group_key")
     )
 
