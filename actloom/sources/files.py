@@ -64,7 +64,7 @@ READERS = {".txt": decode, ".xml": xml_text, ".docx": docx_text, ".pdf": pdf_tex
 
 def extract(files: DataFrame) -> DataFrame:
     """A05-A07. (path, length, extracted_text, error) of a binaryFile table. What cannot be read keeps
-    its row: error names why, the text is null."""
+    its row: error names why, the text is null. (The source itself lists no files of length 0.)"""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

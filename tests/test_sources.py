@@ -9,7 +9,6 @@ def test_files_in_all_encodings(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("﻿строка".encode("utf-8"))
     (tmp_path / "c.xml").write_text("<r><a>один</a> <b>два</b></r>")
     (tmp_path / "d.bin").write_bytes(b"x")
-    (tmp_path / "e.txt").write_bytes(b"")
     (tmp_path / "g.xml").write_text("<r><a>")
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     with zipfile.ZipFile(tmp_path / "f.docx", "w") as z:
@@ -18,7 +17,12 @@ def test_files_in_all_encodings(spark, tmp_path):
     got = {r.filename: (r.extracted_text, r.error) for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert got["a.txt"] == ("строка\nдва", None) and got["b.txt"] == ("строка", None)
     assert got["c.xml"] == ("один\nдва", None) and got["f.docx"] == ("Абзац\n1 | 2", None)
-    assert got["d.bin"] == (None, "unsupported format") and got["e.txt"] == (None, "empty file") and got["g.xml"] == (None, "unreadable: ParseError")
+    assert got["d.bin"] == (None, "unsupported format") and got["g.xml"] == (None, "unreadable: ParseError")
+
+
+def test_empty_content_is_an_error_row(spark):
+    df = spark.createDataFrame([("x/e.txt", 0, bytearray()), ("x/n.txt", 0, None)], "path string, length bigint, content binary")
+    assert {r.error for r in files.extract(df).collect()} == {"empty file"}
 
 
 def test_acts_round_trip(spark, tmp_path):
