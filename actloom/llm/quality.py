@@ -158,7 +158,7 @@ def classify(text: str, stats: tuple[int, float, float, float, float], words: Co
         if solid >= 20 and (not bare or Counter(bare).most_common(1)[0][1] > 0.5 * len(bare)):
             return "junk"
         symbols = len(SYMBOL.findall(bare)) / max(1, len(bare))
-        if symbols > 0.25 and common < 0.15 or symbols > 0.4:
+        if symbols > 0.25 and (common < 0.15 or mean_length < 2.2) or symbols > 0.4:
             return "junk"
         if not text.isascii() and (len(LATIN1.findall(bare)) > 0.2 * len(bare) or len(DOUBLE_READ.findall(bare)) > 0.04 * len(bare)):
             return "junk"
@@ -175,6 +175,8 @@ def classify(text: str, stats: tuple[int, float, float, float, float], words: Co
     weight = [max(1, len(x.strip())) for x in lines]
     total = sum(weight)
     rows = [a or b for a, b in zip(delimiter_rows(lines), aligned_rows(lines))]
+    if '":' in text:
+        rows = [r and not JSON_KEY.search(x) for r, x in zip(rows, lines)]
     rule = [bool(RULE.match(x)) and len(x.strip()) >= 3 for x in lines]
     junk = [j and not r for j, r in zip(junk_lines(text, lines), rule)]
     ends = [len(SENTENCE_END.findall(x)) for x in lines]

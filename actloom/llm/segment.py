@@ -28,7 +28,7 @@ CLAUSE_MARKS = ",;:，、；：،؛"
 CLOSERS = "\"'»”’」』)）]】“"
 
 # ranks of a pause
-SPLIT_MARK, SPACE, CLAUSE, LINE, SENTENCE, PARAGRAPH = 1, 2, 3, 4, 5, 6
+RUN_END, SPLIT_MARK, SPACE, CLAUSE, LINE, SENTENCE, PARAGRAPH = 1, 2, 3, 4, 5, 6, 7
 
 
 @functools.cache
@@ -63,8 +63,9 @@ def pauses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     space, mark = t["space"][points], t["mark"][points]
     rank = np.zeros(n + 1, np.uint8)
-    after = np.flatnonzero(mark) + 1
-    rank[after] = SPLIT_MARK
+    pause = space | mark
+    rank[np.flatnonzero(pause[1:] & ~pause[:-1]) + 1] = RUN_END
+    rank[np.flatnonzero(mark) + 1] = SPLIT_MARK
     rank[np.flatnonzero(t["wide"][points]) + 1] = SENTENCE
     # a run of white space: the cut lies after it
     ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -141,7 +142,7 @@ def cut(text: str, limit: int, overlap: int) -> list[Piece]:
         return [Piece(0, n, 0, False)] if n else []
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     places, ranks = pauses(points)
-    by_rank = {r: places[ranks >= r] for r in (SPLIT_MARK, SPACE, CLAUSE, LINE, SENTENCE)}
+    by_rank = {r: places[ranks >= r] for r in (RUN_END, SPLIT_MARK, SPACE, CLAUSE, LINE, SENTENCE)}
     ends = by_rank[SENTENCE]
     depth = depths(points, ends) + 0.1 * (ranks[ranks >= SENTENCE] == PARAGRAPH)
     joins = _tables()["joins"]
@@ -159,7 +160,7 @@ def cut(text: str, limit: int, overlap: int) -> list[Piece]:
                 break
         else:
             end = 0
-            for rank in (LINE, CLAUSE, SPACE, SPLIT_MARK):
+            for rank in (LINE, CLAUSE, SPACE, SPLIT_MARK, RUN_END):
                 for high in (roomy, most, at + limit):
                     k = int(np.searchsorted(by_rank[rank], high, "right")) - 1
                     if k >= 0 and by_rank[rank][k] > at:

@@ -29,7 +29,7 @@ IGNORABLE = (
 SAME_SHAPE = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "D": "", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ",
     "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵ",
     "w": "ԝ", "x": "х", "y": "уү",
     "æ": "ӕ", "Æ": "Ӕ", "Ә": "Ə", "ә": "ə", "Г": "Γ", "П": "Π", "Ф": "Φ", "к": "κĸ",
 }
@@ -38,6 +38,9 @@ SAME_SHAPE = {
 HYPHENS = "‐‑⁃˗֊"
 SPACES = " "
 
+#: With case folded, a letter is also the same as those that its capital looks like: в as b, н as h.
+FOLDED = {ord(x.casefold()): to.casefold() for to, same in SAME_SHAPE.items() for x in same if x.casefold() != x}
+
 #: Compatibility forms with these tags look different from their letters and digits: they stay.
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>")
 
@@ -65,6 +68,7 @@ def one_form(text: str, fold_case: bool = True, shapes: bool = True) -> str:
     out = unicodedata.normalize("NFKD", text.translate(before)).translate(after)
     if fold_case:
         out = unicodedata.normalize("NFKD", out.casefold()).translate(after)
+        out = out.translate(FOLDED) if shapes else out
     return unicodedata.normalize("NFC", out.translate(back))
 
 
