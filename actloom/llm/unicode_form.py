@@ -110,7 +110,8 @@ def form_points(text: str, fold_case: bool = False, shapes: bool = True) -> np.n
     if top == DROP:
         return to[points]
     text = unicodedata.normalize("NFC", points.tobytes().decode("utf-32-le", "surrogatepass"))
-    text = several.sub(lambda m: one_form(m.group(), fold_case, shapes), text)
+    if several.search(text):  # what a ligature becomes may compose with a mark after it
+        text = unicodedata.normalize("NFC", several.sub(lambda m: one_form(m.group(), fold_case, shapes), text))
     out = to[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if top == LATIN_MARK:  # a letter that changed its alphabet may now compose with its accent
         text = unicodedata.normalize("NFC", out.tobytes().decode("utf-32-le", "surrogatepass"))
