@@ -46,30 +46,29 @@ VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>
 
 
 @functools.cache
-def _tables(shapes: bool) -> tuple[dict[int, str | None], dict[int, str], dict[int, str]]:
-    """Maps before and after decomposition, and the way back for the forms that stay."""
+def _tables(shapes: bool) -> tuple[dict[int, str | None], dict[int, str], re.Pattern[str]]:
+    """Maps before and after decomposition, and the compatibility forms that stay as they are."""
     before: dict[int, str | None] = {c: None for a, b in IGNORABLE for c in range(a, b + 1)}
     before |= dict.fromkeys(map(ord, HYPHENS), "-") | dict.fromkeys(map(ord, SPACES), " ")
-    back: dict[int, str] = {}
-    free = 0xF0000  # private use, plane 15
-    for c in [*range(0x80, 0x2E80), *range(0x3000, 0x3400), *range(0xFE00, 0x10000), *range(0x1D400, 0x1F300)]:
-        if unicodedata.decomposition(chr(c)).startswith(VISIBLE):
-            before[c], back[free] = chr(free), chr(c)
-            free += 1
     after = {ord(x): to for to, same in SAME_SHAPE.items() for x in same} if shapes else {}
-    return before, after, back
+    stay = [chr(c) for c in [*range(0x80, 0x2E80), *range(0x3000, 0x3400), *range(0xFE00, 0x10000), *range(0x1D400, 0x1F300)] if unicodedata.decomposition(chr(c)).startswith(VISIBLE)]
+    return before, after, re.compile(f"([{''.join(stay)}])")
 
 
 def one_form(text: str, fold_case: bool = True, shapes: bool = True) -> str:
     """The form of a text. Empty stays empty; applying it twice changes nothing more."""
     if text.isascii():
         return text.casefold() if fold_case else text
-    before, after, back = _tables(shapes)
-    out = unicodedata.normalize("NFKD", text.translate(before)).translate(after)
-    if fold_case:
-        out = unicodedata.normalize("NFKD", out.casefold()).translate(after)
-        out = out.translate(FOLDED) if shapes else out
-    return unicodedata.normalize("NFC", out.translate(back))
+    before, after, stay = _tables(shapes)
+
+    def part(t: str) -> str:
+        out = unicodedata.normalize("NFKD", t.translate(before)).translate(after)
+        if fold_case:
+            out = unicodedata.normalize("NFKD", out.casefold()).translate(after)
+            out = out.translate(FOLDED) if shapes else out
+        return unicodedata.normalize("NFC", out)
+
+    return "".join(t if i % 2 else part(t) for i, t in enumerate(stay.split(text)))
 
 
 DROP, EXPANDS, MARK, LATIN_MARK = 1, 2, 3, 4
