@@ -36,7 +36,8 @@ HEX = re.compile(r"(?:[0-9a-fA-F]{2}[\s:]?){8,}$")
 HEX_DUMP = re.compile(r"^[0-9a-fA-F]{4,}[:\s]\s*(?:[0-9a-fA-F]{2,4}\s+){4,}")
 JSON_KEY = re.compile(r"\"[^\"]{1,40}\":\s*(?:[\"\d\[{]|true|false|null|-)")
 BRACKETS = re.compile(r"[{}\[\],;\s]+$")
-CODE = re.compile(r"(?:\bfunction\b|\bvar\b|=>|\);|\{\s*$|^\s*\}|</?(?:div|span|a|li|ul|script|p|br|img|nav)\b|&[a-z]{2,6};|https?://|%[0-9A-F]{2}%)")
+CODE = re.compile(r"(?:\bfunction\b|\bvar\b|=>|\);|\{\s*$|^\s*\}|</?(?:div|span|a|li|ul|script|p|br|img|nav)\b|&(?:amp|quot|nbsp|lt|gt);|https?://|%[23][0-9A-F]%)")
+CODE_SIGNS = ("{", "}", "<", "=>", ");", "http", "function", "var", "%2", "%3", "amp;", "quot;", "nbsp;", "&lt;", "&gt;")  # one is in any text with two matches of CODE
 LONG_TOKEN = re.compile(r"[A-Za-z0-9+/=_\-]{28,}")
 CRUMB = re.compile(r"(?<=\S)[ \t]+(?:>+|»|›|/|\||·|•|::|<+)(?=\s|$)")
 LATIN1 = re.compile("[\u0080-\u009f¡-¿ÂÃÐÑ�]")
@@ -126,7 +127,7 @@ def aligned_rows(lines: list[str]) -> list[bool]:
 
 def junk_lines(text: str, lines: list[str]) -> list[bool]:
     """Lines of dumps, codes and mark-up. What is in no line of the text is not looked for in each."""
-    keyed, long, code = '":' in text, bool(LONG_TOKEN.search(text)), len(CODE.findall(text)) >= 2
+    keyed, long, code = '":' in text, bool(LONG_TOKEN.search(text)), any(x in text for x in CODE_SIGNS) and len(CODE.findall(text)) >= 2
 
     def junk(x: str) -> bool:
         body = x.strip()
