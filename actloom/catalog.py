@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actloom.plans import corpus_queries, diff_queries, report_queries, text_queries  # noqa: F401
+from actloom.plans import corpus_queries, diff_queries, more_queries, report_queries, text_queries  # noqa: F401
 from actloom.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "D13_version_diff"

@@ -84,3 +84,12 @@ def leave_one_out(df: DataFrame, column: str, held_out: str, id_col: str, seed:
     """L15. df with split: rows of one source are test, the others train or validation by seeded hash."""
     u = F.conv(F.substring(hash_order(seed, id_col), 1, 8), 16, 10).cast("double") / 4294967296.0
     return df.withColumn("split", F.when(F.coalesce(F.col(column) == held_out, F.lit(False)), "test").when(u < validation_share, "validation").otherwise("train"))
+
+
+def label_minimums(df: DataFrame, label: str, id_col: str, target: str, donor: str, least: int) -> DataFrame:
+    """L07. df with split changed: of each label, the first donor rows move to target until it has `least`."""
+    have = df.groupBy(label).agg(F.count_if(F.col("split") == target).alias("_have"))
+    w = Window.partitionBy(label, "split").orderBy(id_col)
+    ranked = df.withColumn("_k", F.row_number().over(w)).join(have, label)
+    move = (F.col("split") == donor) & (F.col("_k") <= F.lit(least) - F.col("_have"))
+    return ranked.withColumn("split", F.when(move, target).otherwise(F.col("split"))).drop("_k", "_have")

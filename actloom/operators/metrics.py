@@ -100,3 +100,30 @@ def topic_covered(topic_words: Column, text: Column, least: float = 0.55) -> Col
 def gate(value: Column, least: float) -> Column:
     """O05. Whether a suite passes."""
     return F.coalesce(value >= least, F.lit(False))
+
+
+def similar_matches(expected: DataFrame, found: DataFrame, key: str, least: float = 0.72) -> DataFrame:
+    """N08. (key, expected_id, found_id, score): each expected text, in order, takes the most similar
+    unused found text of its key from `least` on; one that contains the other and has 16 characters
+    counts as 1. The texts of a key, bounded by a document, meet once."""
+    from actloom.operators.matching import ratio
+
+    side = lambda df, i, n: df.select(key, F.col(i).alias("_id"), F.coalesce("text", F.lit("")).alias("_t"), F.lit(n).alias("_n"))
+    both = side(expected, "expected_id", 0).unionByName(side(found, "found_id", 1))
+
+    def score(a: str, b: str) -> float:
+        return 1.0 if min(len(a), len(b)) >= 16 and (a in b or b in a) else ratio(a, b)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")
+        left, right, rows = pdf[pdf._n == 0], pdf[pdf._n == 1], []
+        free = dict(zip(right._id, right._t))
+        for i, t in zip(left._id, left._t):
+            best = max(((score(t, u), -j, j) for j, u in free.items()), default=(0.0, 0, None))
+            if best[2] is not None and best[0] >= least:
+                del free[best[2]]
+                rows.append((pdf[key].iloc[0], i, best[2], round(best[0], 4)))
+        return pd.DataFrame(rows, columns=[key, "expected_id", "found_id", "score"])
+
+    kinds = dict(both.dtypes)
+    return both.groupBy(key).applyInPandas(choose, f"{key} {kinds[key]}, expected_id {kinds['_id']}, found_id {kinds['_id']}, score double")

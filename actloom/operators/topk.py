@@ -49,3 +49,17 @@ def with_choices(df: DataFrame, keys: Sequence[str], answer: str, pick: str, gen
     size = F.size(three)
     turned = F.concat(F.slice(three, size - turn + 1, F.greatest(turn, F.lit(0))), F.slice(three, F.lit(1), size - turn))
     return out.withColumns({"choices": turned, "correct_index": turn.cast("int")}).drop("_pool")
+
+
+def rank_fallback(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, left_order: str, right_order: str) -> DataFrame:
+    """D21. (keys, left_order, right_order, by): rows of left with their row of right by id; those without
+    one take the k-th row of right that no id has used. Ids are unique on the right."""
+    r = right.select(*keys, F.col(on).alias("_on"), F.col(right_order).alias("_r"))
+    first = left.select(*keys, F.col(on).alias("_on"), F.col(left_order).alias("_l")).join(r, [*keys, "_on"], "left")
+    used = first.where("_r is not null").select(*keys, "_r").distinct()
+    w = lambda c: Window.partitionBy(*keys).orderBy(c)
+    open_left = first.where("_r is null").select(*keys, "_l", F.row_number().over(w("_l")).alias("_k"))
+    open_right = r.select(*keys, "_r").distinct().join(used, [*keys, "_r"], "left_anti").withColumn("_k", F.row_number().over(w("_r")))
+    by_id = first.where("_r is not null").select(*keys, "_l", "_r", F.lit("id").alias("by"))
+    by_rank = open_left.join(open_right, [*keys, "_k"], "left").select(*keys, "_l", "_r", F.when(F.col("_r").isNull(), "none").otherwise("rank").alias("by"))
+    return by_id.unionByName(by_rank).select(*keys, F.col("_l").alias(left_order), F.col("_r").alias(right_order), "by")
