@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,8 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Marks df as read more than once; lost blocks are computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,31 +1,11 @@
-"""Reading of tables, and rules that hold for all of them."""
+"""Reading of tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named parquet table; with columns, only those reach the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def once(df: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ("loaded_at",)) -> DataFrame:
-    """One row per key: of rows delivered more than once the one that was loaded first.
-
-    Repeats are equal in all but `ignore`, so a hash aggregate with map-side combine does;
-    min_by over one struct keeps the row whole.
-    """
-    rest = [c for c in df.columns if c not in keys and c not in ignore]
-    at = F.min("loaded_at").alias("loaded_at") if "loaded_at" in df.columns and "loaded_at" in ignore else None
-    aggs = [F.any_value(c).alias(c) for c in rest] + ([at] if at is not None else [])
-    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    return out.select(*[c for c in df.columns if c in out.columns])
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.length(F.trim(c)) > 0, c)

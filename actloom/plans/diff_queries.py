@@ -272,8 +272,8 @@ def f01(spark, sf_dir):
 
 @query("F06_references_counted", "SELECT DISTINCT chunk_id, len(regexp_extract_all(lower(text), '(ст|п|ч|гл|art|sec|para|abs|nr|kap|chap)\\.\\s*[0-9]+(\\.[0-9]+)*')) AS n FROM chunks WHERE length(text) > 0")
 def f06(spark, sf_dir):
-    c = chunks(spark, sf_dir, "text").where("length(text) > 0")
-    return c.select("chunk_id", F.regexp_count(F.lower("text"), F.lit(r"(ст|п|ч|гл|art|sec|para|abs|nr|kap|chap)\.\s*[0-9]+(\.[0-9]+)*")).cast("bigint").alias("n"))
+    c = load(spark, sf_dir, "chunks", "chunk_id", "text").where("length(text) > 0")
+    return c.select("chunk_id", F.regexp_count(F.lower("text"), F.lit(r"(ст|п|ч|гл|art|sec|para|abs|nr|kap|chap)\.\s*[0-9]+(\.[0-9]+)*")).cast("bigint").alias("n")).distinct()
 
 
 @query("F11_F15_merged_entities")

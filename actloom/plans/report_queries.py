@@ -149,8 +149,8 @@ _BONUS = "round_even(" + " + ".join(f"(CASE WHEN contains(lower(coalesce({f}, ''
 
 @query("K06_lexical_bonus", f"SELECT DISTINCT chunk_id, {_BONUS}::DOUBLE AS bonus FROM chunks WHERE {_BONUS} > 0")
 def k06(spark, sf_dir):
-    c = chunks(spark, sf_dir, "heading", "section_path", "text")
-    return c.withColumn("bonus", search.lexical_bonus("Reglement der", F.col("heading"), F.col("section_path"), F.col("text"))).where("bonus > 0").select("chunk_id", "bonus")
+    c = load(spark, sf_dir, "chunks", "chunk_id", "heading", "section_path", "text")
+    return c.withColumn("bonus", search.lexical_bonus("Reglement der", F.col("heading"), F.col("section_path"), F.col("text"))).where("bonus > 0").select("chunk_id", "bonus").distinct()
 
 
 @query("K07_K08_reranked")
@@ -161,8 +161,8 @@ def k07(spark, sf_dir):
 
 @query("K01_K12_search_rows", "SELECT DISTINCT chunk_id, length(concat_ws(chr(10), CASE WHEN length(heading) > 0 THEN heading END, CASE WHEN length(section_path) > 0 AND section_path IS DISTINCT FROM heading THEN section_path END, text)) AS n_chars FROM chunks")
 def k01(spark, sf_dir):
-    c = chunks(spark, sf_dir, "heading", "section_path", "text")
-    return c.select("chunk_id", F.length(search.embedding_text(F.col("heading"), F.col("section_path"), F.col("text"))).cast("bigint").alias("n_chars"))
+    c = load(spark, sf_dir, "chunks", "chunk_id", "heading", "section_path", "text")
+    return c.select("chunk_id", F.length(search.embedding_text(F.col("heading"), F.col("section_path"), F.col("text"))).cast("bigint").alias("n_chars")).distinct()
 
 
 @query("K11_answer_sources")

@@ -20,7 +20,8 @@ def collapsed(c: str) -> str:
 
 
 def versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each version once; repeats are equal in these columns."""
+    """Each version once; repeats are equal in these columns. Queries whose result is small per row
+    read the table with repeats instead and make the result distinct, so that texts are not shuffled."""
     return load(spark, sf_dir, "document_versions", "version_id", *columns).dropDuplicates(["version_id"])
 
 
@@ -42,7 +43,7 @@ def _normal_sql(c: str) -> str:
 @query("B01_normalize_text", f"SELECT DISTINCT version_id, sha256({_normal_sql('extracted_text')}) AS content_hash, length({_normal_sql('extracted_text')}) AS n_chars FROM document_versions")
 def b01(spark, sf_dir):
     n = text.normalize_text(F.col("extracted_text"))
-    return versions(spark, sf_dir, "extracted_text").select("version_id", n.alias("n")).select("version_id", text.content_hash(F.col("n")).alias("content_hash"), F.length("n").cast("bigint").alias("n_chars"))
+    return load(spark, sf_dir, "document_versions", "version_id", "extracted_text").select("version_id", n.alias("n")).select("version_id", text.content_hash(F.col("n")).alias("content_hash"), F.length("n").cast("bigint").alias("n_chars")).distinct()
 
 
 @query("B02_normalize_by_format")
@@ -72,20 +73,20 @@ def b05(spark, sf_dir):
 
 @query("B06_dehyphenated", "SELECT DISTINCT version_id, sha256(regexp_replace(normalized_text, '([\\p{L}\\p{N}])-\\n(\\p{Ll})', '\\1\\2', 'g')) AS h FROM document_versions WHERE normalized_text IS NOT NULL")
 def b06(spark, sf_dir):
-    v = versions(spark, sf_dir, "normalized_text").where("normalized_text is not null")
-    return v.select("version_id", text.content_hash(pages.dehyphenate(F.col("normalized_text"))).alias("h"))
+    v = load(spark, sf_dir, "document_versions", "version_id", "normalized_text").where("normalized_text is not null")
+    return v.select("version_id", text.content_hash(pages.dehyphenate(F.col("normalized_text"))).alias("h")).distinct()
 
 
 @query("B08_content_hash", "SELECT DISTINCT chunk_id, sha256(text) AS h FROM chunks WHERE text IS NOT NULL")
 def b08(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where("text is not null").select("chunk_id", text.content_hash(F.col("text")).alias("h"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", text.content_hash(F.col("text")).alias("h")).distinct()
 
 
 @query("B10_path_marker", """
 SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(canonical_label), '№', 'no'), '[^\\p{L}\\p{N}_.]+', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS marker
 FROM chunks WHERE canonical_label IS NOT NULL""")
 def b10(spark, sf_dir):
-    return chunks(spark, sf_dir, "canonical_label").where("canonical_label is not null").select("chunk_id", text.path_marker(F.col("canonical_label")).alias("marker"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "canonical_label").where("canonical_label is not null").select("chunk_id", text.path_marker(F.col("canonical_label")).alias("marker")).distinct()
 
 
 @query("B11_B12_collapse_and_fold", f"""
@@ -108,7 +109,7 @@ def b13(spark, sf_dir):
 
 @query("B15_match_form")
 def b15(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where("text is not null").select("chunk_id", text.match_form(F.col("text")).alias("form"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", text.match_form(F.col("text")).alias("form")).distinct()
 
 
 @query("B16_topic_form", "SELECT DISTINCT annotation_id, trim(regexp_replace(translate(lower(description), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g')) AS topic FROM annotation WHERE description IS NOT NULL")
@@ -119,7 +120,7 @@ def b16(spark, sf_dir):
 
 @query("B17_word_sets", "SELECT DISTINCT chunk_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS n_words FROM chunks WHERE text IS NOT NULL")
 def b17(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where("text is not null").select("chunk_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("n_words"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("n_words")).distinct()
 
 
 @query("B18_content_words", f"""
@@ -135,7 +136,7 @@ WITH c AS (SELECT DISTINCT chunk_id, {collapsed('text')} t FROM chunks WHERE tex
 SELECT chunk_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substring(t, 1, 79), '\\s+$', '') || '…' END AS short,
        CASE WHEN length(t) <= 60 THEN regexp_replace(t, '[.\\s]+$', '') ELSE regexp_replace(regexp_replace(substring(t, 1, 59), '\\s+$', '') || '…', '[.\\s]+$', '') END AS snippet FROM c""")
 def b19(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where("text is not null").select("chunk_id", text.truncate(F.col("text"), 80).alias("short"), text.snippet(F.col("text"), 60).alias("snippet"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", text.truncate(F.col("text"), 80).alias("short"), text.snippet(F.col("text"), 60).alias("snippet")).distinct()
 
 
 @query("B21_human_join", """
@@ -165,8 +166,8 @@ def b23(spark, sf_dir):
 
 @query("B24_file_names", "SELECT DISTINCT version_id, regexp_extract(source_filename, '([^/\\\\]*)$', 1) AS name, lower(regexp_extract(source_filename, '(\\.[^.]*)$', 1)) AS ext FROM document_versions WHERE source_filename IS NOT NULL")
 def b24(spark, sf_dir):
-    v = versions(spark, sf_dir, "source_filename").where("source_filename is not null")
-    return v.select("version_id", text.base_name(F.col("source_filename")).alias("name"), text.extension(F.col("source_filename")).alias("ext"))
+    v = load(spark, sf_dir, "document_versions", "version_id", "source_filename").where("source_filename is not null")
+    return v.select("version_id", text.base_name(F.col("source_filename")).alias("name"), text.extension(F.col("source_filename")).alias("ext")).distinct()
 
 
 @query("B25_B26_rates", "SELECT o_custkey, count(*) AS n, round_even(CASE WHEN count(*) <> 0 THEN count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / count(*) ELSE 0 END, 4) AS rate FROM orders GROUP BY 1")
@@ -177,8 +178,8 @@ def b25(spark, sf_dir):
 
 @query("B27_first_filled", "SELECT DISTINCT chunk_id, coalesce(CASE WHEN length(trim(heading)) > 0 THEN heading END, CASE WHEN length(trim(section_path)) > 0 THEN section_path END, CASE WHEN length(trim(canonical_label)) > 0 THEN canonical_label END, 'none') AS shown FROM chunks")
 def b27(spark, sf_dir):
-    c = chunks(spark, sf_dir, "heading", "section_path", "canonical_label")
-    return c.select("chunk_id", F.coalesce(text.first_filled(F.col("heading"), F.col("section_path"), F.col("canonical_label")), F.lit("none")).alias("shown"))
+    c = load(spark, sf_dir, "chunks", "chunk_id", "heading", "section_path", "canonical_label")
+    return c.select("chunk_id", F.coalesce(text.first_filled(F.col("heading"), F.col("section_path"), F.col("canonical_label")), F.lit("none")).alias("shown")).distinct()
 
 
 @query("B29_label_mapping", "SELECT importance, count(*) AS n, CASE importance WHEN 'critical' THEN 'critical' WHEN 'important' THEN 'important' WHEN 'informational' THEN 'minor' WHEN 'editorial' THEN 'minor' ELSE 'unknown' END AS mapped FROM annotation GROUP BY 1, 3")
@@ -195,14 +196,14 @@ def b31(spark, sf_dir):
 
 @query("B32_B33_flags", "SELECT DISTINCT chunk_id, " + ", ".join(f"regexp_matches({collapsed('text')}, '{p}')::INT AS {n}" for n, p in FLAGS.items()) + ", CASE WHEN length(text) < 120 THEN 'short' WHEN length(text) < 260 THEN 'medium' ELSE 'long' END AS bucket FROM chunks WHERE text IS NOT NULL")
 def b32(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where("text is not null").select("chunk_id", *text.flags(F.col("text"), FLAGS), text.length_bucket(F.col("text")).alias("bucket"))
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", *text.flags(F.col("text"), FLAGS), text.length_bucket(F.col("text")).alias("bucket")).distinct()
 
 
 @query("B34_title_like", """
 SELECT DISTINCT chunk_id FROM chunks
 WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) BETWEEN 1 AND 3 AND length(text) <= 220 AND NOT (length(text) > 120 AND regexp_matches(text, '[.;:]$'))""")
 def b34(spark, sf_dir):
-    return chunks(spark, sf_dir, "text").where(text.looks_like_title(F.col("text"))).select("chunk_id")
+    return load(spark, sf_dir, "chunks", "chunk_id", "text").where(text.looks_like_title(F.col("text"))).select("chunk_id").distinct()
 
 
 @query("B36_parse_bool", "SELECT annotation_id, (lower(trim(requires_manual_review::VARCHAR)) IN ('1', 'true', 'yes')) AS review FROM (SELECT DISTINCT annotation_id, coalesce(requires_manual_review, false) requires_manual_review FROM annotation)")
