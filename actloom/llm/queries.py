@@ -38,14 +38,16 @@ def examples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tied = [s for s in strategies(spark, sf_dir) if s.fields]
-    rows = examples(spark, sf_dir, "split", "document_id", "pair_id")
-    return grouped_split.parted_groups(grouped_split.with_groups(rows, tied)).select("split_strategy", "example_id")
+    # both are read more than once: written, the large table is scanned and aggregated once only
+    rows = cut_lineage(examples(spark, sf_dir, "split", "document_id", "pair_id"))
+    grouped = cut_lineage(grouped_split.with_groups(rows, tied))
+    return grouped_split.parted_groups(grouped).select("split_strategy", "example_id")
 
 
 def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every example with the split it is given to under each strategy."""
     plans = strategies(spark, sf_dir)
-    grouped = cut_lineage(grouped_split.with_groups(examples(spark, sf_dir, "document_id", "pair_id"), plans))
+    grouped = cut_lineage(grouped_split.with_groups(cut_lineage(examples(spark, sf_dir, "document_id", "pair_id")), plans))
     given = grouped_split.assign(grouped, plans)
     return grouped.join(given, ["split_strategy", "group_key"]).select("split_strategy", "example_id", "group_key", F.col("assigned").alias("split"))
 
