@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actloom.core.session import cut_lineage
+
 
 def union_first_wins(sources: Sequence[DataFrame], key: str) -> DataFrame:
     """L02, L16. Rows of all sources, each key from the first source that has it; one aggregate, no sort."""
@@ -35,24 +36,28 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float,
 def group_split(df: DataFrame, group: str, label: str, test_share: float) -> DataFrame:
     """L05. df with split: whole groups go to test, the largest first, while the target is not passed by more than 0.3 of a group.
 
-    Only one row a group, with size and dominant label, takes part in the greedy pass.
+    The greedy pass sees the groups of at least a thousandth of the target, a bounded number; each
+    smaller group goes to test with the share of the target that is then left, by its hash. Every
+    step is an aggregate or an expression; no group of rows is gathered. Rows with a null group are
+    left out: give them a value first.
     """
     per_label = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
     totals = per_label.groupBy(label).agg(F.sum("n").alias("total"))
-    stats = per_label.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, F.struct("n", label)).alias(label)).join(totals, label, "left")
-    target = df.count() * test_share
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "total", group], ascending=[False, True, True])
-        got, rows = 0, []
-        for r in pdf.itertuples(index=False):
-            row = r._asdict()
-            take = got < target and got + row["size"] <= target + 0.3 * row["size"]
-            got += row["size"] if take else 0
-            rows.append((row[group], "test" if take else "train"))
-        return pd.DataFrame(rows, columns=[group, "split"])
-
-    placed = stats.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda p: choose(p), f"{group} {dict(df.dtypes)[group]}, split string")
+    stats = cut_lineage(per_label.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, F.struct("n", label)).alias(label)).join(totals, label, "left"))
+    rows = stats.agg(F.sum("size").alias("n")).first()["n"] or 0
+    target = rows * test_share
+    is_heavy = F.col("size") >= max(1.0, target / 1000)
+    heavy = stats.where(is_heavy).orderBy(F.desc("size"), "total", group).collect()  # at most 1000 / test_share rows
+    got, test = 0, []
+    for r in heavy:
+        if got < target and got + r["size"] <= target + 0.3 * r["size"]:
+            got += r["size"]
+            test.append(r[group])
+    light = rows - sum(r["size"] for r in heavy)
+    share = max(0.0, target - got) / light if light else 0.0
+    chosen = df.sparkSession.createDataFrame([(g, True) for g in test], f"{group} {dict(df.dtypes)[group]}, _test boolean")
+    u = F.conv(F.substring(hash_order(42, group), 1, 8), 16, 10).cast("double") / 4294967296.0
+    placed = stats.join(F.broadcast(chosen), group, "left").select(group, F.when(F.coalesce("_test", ~is_heavy & (u < share)), "test").otherwise("train").alias("split"))
     return df.join(placed, group)
 
 
