@@ -104,7 +104,7 @@ def stream_documents(spark: SparkSession, folder: str):
 
 def read_acts(spark: SparkSession, folder: str) -> DataFrame:
     """A08. Acts as XML: metadata by tag (its val attribute, else its text) and the body, white space collapsed."""
-    raw = spark.read.option("wholetext", "true").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("xml"))
+    raw = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("xml"))
     tag = lambda name: F.coalesce(F.expr(f"nullif(xpath_string(xml, '//{name}/@val'), '')"), F.expr(f"nullif(xpath_string(xml, '//{name}'), '')"))
     return raw.select("path", tag("id").alias("act_id"), collapse(tag("heading")).alias("heading"), parse_date(tag("date")).alias("document_date"), collapse(tag("body")).alias("cleaned_text"))
 

@@ -73,7 +73,7 @@ def test_line_context_matches_a_fold(spark):
 
 
 def test_pages(spark):
-    text = "\f".join(f"ШАПКА ДОКУМЕНТА\nтекст страницы {i} идёт дальше и даль-\nше и не кончается\nна этой строке {i}.\n{i}" for i in (1, 2, 3))
+    text = "\f".join(f"ШАПКА ДОКУМЕНТА\nтекст страницы {i} идёт дальше и даль-\nше и не кончается раз {i}\nна этой строке {i}.\n{i}" for i in (1, 2, 3))
     df = spark.createDataFrame([(1, text), (2, "одна страница")], "id bigint, t string")
     edges = {(r.edge, r.line) for r in pages.repeated_edges(pages.page_lines(df, "id", "t"), "id").collect()}
     assert ("top", "ШАПКА ДОКУМЕНТА") in edges
