@@ -5,8 +5,11 @@ shards of bounded size, and of each a full-text index over words is made: the ro
 suffixes by the word before them, which is all that backward search needs, and the text each row
 belongs to. The classes of the training side stream through it. From every word of a training
 text the match is extended to the left until it is rare in the shard, until it is long, or until
-it is maximal; where it then stands, its text and the shard's may overlap. Matches of a pair are
-merged into one candidate, and the word sets of each candidate are compared exactly.
+it is maximal; where it then stands, its text and the shard's may overlap. What ends maximal while
+it is still frequent is not looked up, so pairs that share frequent words only are found by their
+sets instead: of its frequent words, rarest first, each text has a prefix in which such a partner
+must meet it. Matches of a pair are merged into one candidate, and the word sets of each candidate
+are compared exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ SHARD_WORDS = 2_000_000  # words of the evaluation side in one index
 SLICE_TEXTS = 100_000  # training texts that one task streams through one index
 RARE = 16  # a match that stands at most so often in a shard is looked up
 LONG = 20  # a match of so many words is looked up however often it stands
+BLOCK = 2_000_000  # candidates or words of candidates that are held at once
 LEAST_WORDS = 5
 SIMILARITY = 0.8
 
@@ -125,6 +129,8 @@ class WordIndex:
         owner = self.sets // width
         self.sizes = np.bincount(owner, minlength=texts).astype(np.int32)
         self.bits = sketches(self.vocabulary[self.sets % width], owner, texts)
+        self.by_spread = np.empty(width, np.int64)  # place of each word when those in the fewest texts come first
+        self.by_spread[np.argsort(np.bincount(self.sets % width, minlength=width), kind="stable")] = np.arange(width)
 
     @classmethod
     def build(cls, words: np.ndarray, offsets: np.ndarray, keys: list[bytes]) -> WordIndex:
@@ -174,9 +180,59 @@ class WordIndex:
         rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         return np.repeat(end, count), self.text_of[rows]
 
+    def prefixes(self, owner: np.ndarray, code: np.ndarray, sizes: np.ndarray, similarity: float, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, how many frequent words of the text from this one on) of sets given as (text, code).
+
+        A pair that shares a word of at most `rare` places is found by its match. Any other pair that
+        is similar enough shares frequent words only, and the rarest of them is in the prefix of both.
+        """
+        frequent = np.diff(self.starts)[len(self.sizes) :][code] > rare
+        owner, code = owner[frequent], code[frequent]
+        order = np.lexsort((self.by_spread[code], owner))
+        owner, code = owner[order], code[order]
+        first = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        left = first[owner + 1] - np.arange(len(owner))
+        kept = left >= similarity * sizes[owner] - 1e-9
+        return owner[kept], code[kept], left[kept]
+
+    def postings(self, similarity: float, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word and size as one sorted key, text, frequent words left) of the prefixes of all texts."""
+        width = len(self.vocabulary) + 1
+        text, code, left = self.prefixes(self.sets // width, self.sets % width, self.sizes, similarity, rare)
+        key = code * (int(self.sizes.max(initial=0)) + 2) + self.sizes[text]
+        order = np.argsort(key, kind="stable")
+        return key[order], text[order], left[order]
+
+    def frequent_pairs(self, postings: tuple[np.ndarray, np.ndarray, np.ndarray], owner: np.ndarray, code: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, rare: int) -> Iterator[np.ndarray]:
+        """Candidates (streamed text * texts + text of the index) that share frequent words only, each once."""
+        keys, text_of, left_of = postings
+        base = int(self.sizes.max(initial=0)) + 2
+        here, code, left = self.prefixes(owner, code, sizes, similarity, rare)
+        # sizes that can be similar, and of which the words that are left are enough
+        least = np.ceil(similarity * sizes[here] - 1e-9)
+        most = np.minimum(sizes[here] / similarity, left * (1 + similarity) / similarity - sizes[here])
+        low = np.searchsorted(keys, code * base + np.minimum(least, base - 1).astype(np.int64))
+        high = np.searchsorted(keys, code * base + np.clip(np.floor(most + 1e-9), -1, base - 2).astype(np.int64), side="right")
+        count = np.maximum(high - low, 0)
+        total = np.concatenate([[0], np.cumsum(count)])
+        ends = np.searchsorted(here, np.arange(len(sizes) + 1))  # a text's entries stay in one block
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(total[ends], total[ends[a]] + BLOCK, side="right")) - 1)
+            part = slice(ends[a], ends[b])
+            n = count[part]
+            rows = np.repeat(low[part] - (total[part] - total[ends[a]]), n) + np.arange(n.sum())
+            one, other = np.repeat(here[part], n), text_of[rows]
+            common = similarity / (1 + similarity) * (sizes[one] + self.sizes[other]) - 1e-9
+            near = left_of[rows] >= common
+            one, other = one[near], other[near]
+            near = np.bitwise_count(bits[one] ^ self.bits[other]).sum(1) <= np.minimum(sizes[one], self.sizes[other]) * (1 - similarity) / similarity + 1e-9
+            yield np.unique(one[near].astype(np.int64) * len(self.sizes) + other[near])
+            a = b
+
     def overlaps(self, words: np.ndarray, offsets: np.ndarray, similarity: float, rare: int = RARE, long: int = LONG, at_once: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(streamed text, text of the index) of all pairs found whose word sets are similar enough."""
-        width = len(self.vocabulary) + 1
+        postings = self.postings(similarity, rare)
         for a in range(0, len(offsets) - 1, at_once):
             b = min(a + at_once, len(offsets) - 1)
             part, bounds = words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -197,20 +253,32 @@ class WordIndex:
             differ = np.bitwise_count(bits[here] ^ self.bits[there]).sum(1)
             near = differ <= least * (1 - similarity) / similarity + 1e-9
             merged = np.unique(here[near].astype(np.int64) * len(self.sizes) + there[near])
-            here, there = merged // len(self.sizes), merged % len(self.sizes)
-            # exact: how many words of the streamed set are in the other
             known = members[code[members] >= 0]
             known_owner, known_code = owner[known], code[known]
-            first = np.searchsorted(known_owner, np.arange(b - a + 1))
+            yield from ((i + a, j) for i, j in self.exact(merged, known_owner, known_code, sizes, similarity))
+            for more in self.frequent_pairs(postings, known_owner, known_code, sizes, bits, similarity, rare):
+                more = np.setdiff1d(more, merged, assume_unique=True)
+                yield from ((i + a, j) for i, j in self.exact(more, known_owner, known_code, sizes, similarity))
+
+    def exact(self, merged: np.ndarray, owner: np.ndarray, code: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of candidates, those whose sets are similar enough: how many words of the streamed set are in the other."""
+        width = len(self.vocabulary) + 1
+        first = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        total = np.cumsum(np.diff(first)[merged // len(self.sizes)])
+        a = 0
+        while a < len(merged):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK, side="right")))
+            here, there = merged[a:b] // len(self.sizes), merged[a:b] % len(self.sizes)
             count = first[here + 1] - first[here]
             pair = np.repeat(np.arange(len(here)), count)
-            item = np.repeat(first[here] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(here) else np.zeros(0, np.int64)
-            wanted = there[pair] * width + known_code[item]
-            at = np.minimum(np.searchsorted(self.sets, wanted), max(len(self.sets) - 1, 0))
-            common = np.bincount(pair[self.sets[at] == wanted] if len(self.sets) else pair[:0], minlength=len(here))
+            item = np.repeat(first[here] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            wanted = there[pair] * width + code[item]
+            at = np.minimum(np.searchsorted(self.sets, wanted), len(self.sets) - 1)
+            common = np.bincount(pair[self.sets[at] == wanted], minlength=len(here))
             union = sizes[here] + self.sizes[there] - common
             good = common >= similarity * union - 1e-9
-            yield here[good] + a, there[good]
+            yield here[good], there[good]
+            a = b
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -66,6 +66,41 @@ def test_pairs_against_brute_force(spark, monkeypatch):
         assert sorted((r.s, r.id_a, r.id_b) for r in got) == sorted(want)
 
 
+def found_pairs(left, right):
+    code = {}
+    as_words = lambda ts: (np.array([code.setdefault(w, len(code) * 7919 + 11) for t in ts for w in t.split()], np.uint64), np.cumsum([0, *[len(t.split()) for t in ts]]))
+    ix = ov.WordIndex.build(*as_words(right), [bytes([i % 256, i // 256]) for i in range(len(right))])
+    return [(i, j) for here, there in ix.overlaps(*as_words(left), 0.8) for i, j in zip(here.tolist(), there.tolist())]
+
+
+def wanted_pairs(left, right):
+    return [(i, j) for i, t in enumerate(left) for j, u in enumerate(right) if jaccard(t, u) >= 0.8 - 1e-9]
+
+
+def test_family_of_short_variants(monkeypatch):
+    """100 texts of 12 words that differ in the word in the middle: every shared run is frequent and short."""
+    family = [f"a b c d e f v{i} g h i j k" for i in range(100)]
+    for block in (2_000_000, 50):
+        monkeypatch.setattr(ov, "BLOCK", block, raising=False)
+        assert sorted(found_pairs(family[:60], family[60:])) == [(i, j) for i in range(60) for j in range(40)]
+
+
+def test_frequent_words_against_brute_force():
+    """Few words, many texts, other orders, sizes that differ; a pair comes once."""
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(500):
+        t = list(rnd.choice(texts)) if texts and rnd.random() < 0.7 else [f"w{rnd.randrange(40)}" for _ in range(rnd.randint(5, 25))]
+        for _ in range(rnd.randrange(3)):
+            t[rnd.randrange(len(t))] = rnd.choice([f"w{rnd.randrange(40)}", f"x{rnd.randrange(4000)}"])
+        rnd.shuffle(t)
+        texts.append(t)
+    texts = [" ".join(t) for t in texts if len(set(t)) >= 5]
+    got = found_pairs(texts[:250], texts[250:])
+    assert sorted(got) == wanted_pairs(texts[:250], texts[250:])
+    assert len(got) > 200
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "s string, id string, text string, split string")
     assert ov.cross_split_overlaps(df, "s", "id", "text", "split").count() == 0
