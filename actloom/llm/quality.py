@@ -2,8 +2,8 @@
 
 Each line is given a kind by its layout: a delimiter that stands as often in the lines around it
 and columns of blanks that stand under one another (vertical alignment), marks and indentation
-that come back line after line (indentation periodicity), and line classes and lengths that
-repeat with a period (autocorrelation). The share of the characters in lines of each kind,
+that come back line after line or level after level (indentation periodicity), and line classes
+and lengths that repeat with a period (autocorrelation). The share of the characters in lines of each kind,
 together with the ratios of words, symbols, punctuation and common words, decides.
 """
 
@@ -83,6 +83,34 @@ def period(flags: np.ndarray, most: int = 12) -> float:
     return max((float(x[:-k] @ x[k:]) / power * n / (n - k) for k in range(2, min(most, n // 3) + 1)), default=0.0)
 
 
+def returns(series: np.ndarray, least: float) -> bool:
+    """Whether a series has a period: an autocorrelation of `least` that is also beyond chance for its length."""
+    return period(series) > max(least, 3 / np.sqrt(max(1, len(series))))
+
+
+def columns(lengths: np.ndarray, most: int = 12) -> bool:
+    """Whether lines come as rows of cells: lengths with a period, and alike in each place of it."""
+    n = len(lengths)
+    if not returns(lengths, 0.5):
+        return False
+    spread = lengths.var() * n / (n - 1)
+    for k in range(2, min(most, n // 4) + 1):
+        within = sum(float(((c := lengths[i::k]) - c.mean()) @ (c - c.mean())) for i in range(k)) / (n - k)
+        if within < 0.3 * spread:
+            return True
+    return False
+
+
+def indent_widths(lines: list[str]) -> np.ndarray:
+    return np.array([len(x) - len(x.lstrip()) for x in (x.expandtabs(4) for x in lines)], float)
+
+
+def nested(widths: np.ndarray) -> bool:
+    """Whether indentation comes back: with a period, or at least three times to its least width."""
+    deep = widths > widths.min()
+    return returns(widths, 0.35) or int(np.sum(deep[:-1] & ~deep[1:])) + bool(deep[-1]) >= 3
+
+
 def delimiter_rows(lines: list[str]) -> list[bool]:
     """Lines in which a delimiter stands as often as in a line near by, or that are cells by mark-up."""
     n = len(lines)
@@ -209,11 +237,19 @@ def classify(text: str, stats: tuple[int, float, float, float, float], words: Co
     listed = part(items)
     if listed > 0.5:
         return "list"
+    widths = indent_widths(lines)
+    indented = len(lines) >= 6 and widths.any() and nested(widths)
+    sizes = np.array([len(x.strip()) for x in lines], float)
+    # cells of text that stand one to a line: as many lines to a row, of lengths that come back
+    if len(lines) >= 12 and not indented and listed < 0.3 and max(weight) < 70 and sum(ends) <= 0.2 * len(lines) and columns(np.log(sizes)):
+        return "table"
+    # items without marks on levels of indentation that come back, longer than lines without levels may be
+    if indented and max(weight) < 160 and sum(ends) < 0.25 * len(lines) and part([i or not m and e == 0 for i, m, e in zip(items, marked, ends)]) > 0.6:
+        return "list"
     # items without marks: short lines, no sentences, and not the broken lines of a paragraph
     if len(lines) >= 4:
         loose = [u or i for u, i in zip(unmarked, items)]
         if part(loose) > 0.6 and sum(loose) >= 0.7 * len(lines):
-            sizes = np.array([len(x.strip()) for x in lines], float)
             wrapped = sizes[:-1].min() > 0.75 * sizes.max() if len(sizes) > 2 else False
             starts = np.mean([x.strip()[:1].isupper() or not x.strip()[:1].islower() for x in lines])
             if not wrapped and (common < 0.3 or starts > 0.3) and sum(ends) < 0.25 * len(lines):

@@ -21,6 +21,28 @@ def test_kinds(kind, text):
     assert quality.describe(text, COMMON)[5] == kind
 
 
+NAMES = ["Margarete Oberholzer", "Konstantin Wetterling", "Alexandrine Duchesne", "Bartholomew Hargreave", "Theodora Vanderlinden", "Maximilian Rosenkranz"]
+ROLES = ["clerk", "head", "judge", "guard", "cook", "aide"]
+OFFICES = ["North wing annex", "South tower hall", "East gate chamber", "West court lobby", "Main yard store", "Upper floor study"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        # cells of text that stand one to a line
+        ("table", "\n".join(x for row in zip(NAMES, ROLES, OFFICES) for x in row)),
+        ("table", "\n".join(x for row in zip(NAMES * 2, ROLES[::-1] * 2) for x in row)),
+        # levels of items without marks, in lower case and with common words
+        ("list", "\n".join(f"the duties of the {a} in the matter of the register and of the annex to it\n    of the {a} for the roll by the order of the board\n    of the {a} on the log or the plan of the year" for a in ROLES)),
+        # paragraphs that begin with a blank, and lines that are alike in nothing
+        ("prose", "\n".join("   " + PROSE.replace("if ", "if\n").strip() for _ in range(5))),
+        ("list", "\n".join("The " + "".join(rnd.choice("abcdef") for _ in range(rnd.randint(4, 30))) for _ in range(24))),
+    ],
+)
+def test_layout_that_comes_back(kind, text):
+    assert quality.describe(text, COMMON)[5] == kind
+
+
 def test_statistics():
     n, mean, symbols, ends, common, _ = quality.describe("The cat of a dog.\nno end\nwhat?", COMMON)
     assert (n, round(mean, 3), symbols, round(ends, 3), round(common, 3)) == (8, 2.625, 0.0, 0.667, 0.375)
