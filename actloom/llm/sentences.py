@@ -196,6 +196,7 @@ class Segmenter:
     def candidates(self, p: str) -> list[Candidate]:
         out: list[Candidate] = []
         quotes: list[tuple[str, bool]] = []  # open quotations: closing mark, opened after a colon
+        closers: dict[str, int] = {}  # where each closing mark stands last
         labels = [m.end() for m in LABEL.finditer(p)] if "." in p or ")" in p else []
         n_label = 0
         german = None
@@ -204,7 +205,7 @@ class Segmenter:
         for m in EVENT.finditer(p):
             kind, i, e = m.lastgroup, m.start(), m.end()
             if kind == "q":
-                self.quote(p, i, quotes)
+                self.quote(p, i, quotes, closers)
                 continue
             if kind == "th":
                 out.append(Candidate(e, ALWAYS, False))
@@ -225,7 +226,7 @@ class Segmenter:
             for k in range(i, e):
                 if p[k] in "»”」』›》〉\"":
                     was = len(quotes)
-                    pair = self.quote(p, k, quotes)
+                    pair = self.quote(p, k, quotes, closers)
                     if len(quotes) < was:
                         closed, after_colon = True, pair
                     elif len(quotes) > was:  # it opens the next quotation
@@ -257,15 +258,19 @@ class Segmenter:
         return out
 
     @staticmethod
-    def quote(p: str, k: int, quotes: list[tuple[str, bool]]) -> bool:
-        """Opens or closes a quotation at k; of one that is closed, whether a colon opened it."""
+    def quote(p: str, k: int, quotes: list[tuple[str, bool]], closers: dict[str, int]) -> bool:
+        """Opens or closes a quotation at k; of one that is closed, whether a colon opened it.
+        It opens only if its closing mark follows somewhere in the paragraph."""
         ch = p[k]
         if quotes and ch == quotes[-1][0]:
             return quotes.pop()[1]
         if ch == "”" and quotes and quotes[-1][0] in "“”":
             return quotes.pop()[1]
         close = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "‹": "›", "《": "》", "〈": "〉", '"': '"'}.get(ch)
-        if close and (p.find(close, k + 1, k + 400) >= 0 or ch == "„" and p.find("”", k + 1, k + 400) >= 0):
+        for c in (close, "”") if ch == "„" else (close,) if close else ():
+            if c not in closers:
+                closers[c] = p.rfind(c)
+        if close and (closers[close] > k or ch == "„" and closers["”"] > k):
             quotes.append((close, p[max(0, k - 3) : k].rstrip()[-1:] in (":", "：")))
         return False
 

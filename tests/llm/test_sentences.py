@@ -34,6 +34,13 @@ def test_scripts_without_spaces(units):
     assert [text[a:b] for a, b in CUT.units(text)] == units
 
 
+@pytest.mark.parametrize(("left", "right"), ["«»", "“”", "„“", "„”", '""', "「」"])
+def test_long_quotation(left, right):
+    units = [f"The note {left}{'It is kept in the log. ' * 40}It stays{right} is read.", "The rest follows."]
+    text = " ".join(units)
+    assert [text[a:b] for a, b in CUT.units(text)] == units
+
+
 def test_layout():
     text = "Title line\nwrapped\n\n1. First item.\n2.1. Second\ngoes on.\na) one;\nb) two:\nc) three\n \nLast"
     assert [text[a:b] for a, b in CUT.units(text)] == ["Title line\nwrapped", "1. First item.", "2.1. Second\ngoes on.", "a) one;", "b) two:", "c) three", "Last"]
