@@ -85,7 +85,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = load(spark, sf_dir, "document_versions", "version_id", "normalized_text")
     chunks = load(spark, sf_dir, "chunks", "chunk_id", "text")
-    model = sentences.train(versions, "normalized_text")
+    model = sentences.train(versions.select(F.col("normalized_text").alias("text")).unionByName(chunks.select("text")), "text")
     rows = versions.select(F.struct(F.lit("version").alias("kind"), F.col("version_id").alias("id")).alias("record"), F.col("normalized_text").alias("text"))
     rows = rows.unionByName(chunks.select(F.struct(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")).alias("record"), "text"))
     units = sentences.split_sentences(rows, "record", "text", model)

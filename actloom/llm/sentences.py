@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actloom.core.session import cut_lineage
+
 # Abbreviations that what they belong to follows (titles, references, units before a number).
 LEADING = {
     "en": "no nos art arts sec secs cf para paras dr mr mrs ms prof messrs st fig figs tab vol vols approx cl ch chap reg eq ed eds rev hon gen col capt lt sgt vs viz al pt nr app ca resp",
@@ -360,31 +362,40 @@ def observe(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield "starter", m.group(1), 0, 1
 
 
-def train(texts: DataFrame, text_col: str, rows: int = 2000, least: int = 4) -> Model:
-    """A model from at most `rows` different texts, those with the smallest hash; no texts give the fixed lists alone.
+def train(texts: DataFrame, text_col: str, least: int = 4, share: float = 1e-6) -> Model:
+    """A model from all texts; no texts give the fixed lists alone.
 
-    The sample bounds what comes to the driver: one row per word met at least `least` times in it.
+    Words are counted where a text is read and only counts are shuffled, so a repeat counts as often
+    as it stands. What comes to the driver is one row per word met at least `least` times and in at
+    least `share` of all that was seen: at most 1 / share rows.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, no = Counter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            keys = list(yes)
+            batch = pa.RecordBatch.from_pydict(
+                {"kind": pa.array([k for k, _ in keys], pa.string()), "word": pa.array([w for _, w in keys], pa.string()), "a": pa.array([yes[k] for k in keys], pa.int64()), "b": pa.array([no[k] for k in keys], pa.int64())}
+            )
+            yes.clear()
+            no.clear()
+            return batch
+
         for batch in batches:
-            yes, no = Counter(), Counter()
             for text in batch.column(0).to_pylist():
                 for kind, word, a, b in observe(text or ""):
                     yes[kind, word] += a
                     no[kind, word] += b
-            keys = list(yes)
-            yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in keys], "word": [w for _, w in keys], "a": [yes[k] for k in keys], "b": [no[k] for k in keys]})
-
-    # the bound is found over hashes alone; a sort of the texts would bring each partition's share to one task
-    hashed = texts.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
-    bound = hashed.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h").alias("h")).first()["h"]
-    if bound is None:
-        return Model()
-    sample = hashed.where(F.col("_h") <= bound).groupBy("_h").agg(F.any_value("_t").alias("_t")).select("_t")
-    seen = sample.mapInArrow(counted, "kind string, word string, a bigint, b bigint").groupBy("kind", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            if len(yes) > 200_000:
+                yield counts()
+        yield counts()
+
+    seen = texts.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(counted, "kind string, word string, a bigint, b bigint").groupBy("kind", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = cut_lineage(seen.where(F.col("a") + F.col("b") > 0))
+    total = seen.agg(F.sum(F.col("a") + F.col("b")).alias("n")).first()["n"] or 0
     model = Model()
-    for r in seen.where(F.col("a") + F.col("b") >= least).collect():
+    for r in seen.where(F.col("a") + F.col("b") >= max(least, share * total)).collect():
         getattr(model, r["kind"])[r["word"]] = math.log((r["a"] + 0.5) / (r["b"] + 0.5))
     return model
 

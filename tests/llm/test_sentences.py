@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,6 +82,14 @@ def test_held_out_accuracy(spark):
     assert len(cut.units(text)) == len(good)
 
 
+def test_all_texts_are_counted(spark):
+    """A word that stands in 5 of 6,000 texts is learnt, with all of its places."""
+    rows = [(i, f"Item {i} is kept. See qvx. {i}" if i % 1200 == 0 else f"Item {i} is kept.") for i in range(6000)]
+    model = train(spark.createDataFrame(rows, "id int, t string"), "t")
+    assert model.abbreviation["qvx"] == pytest.approx(math.log(5.5 / 0.5))
+    assert model.abbreviation["kept"] == pytest.approx(math.log(0.5 / 5995.5))
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "One two. Three.", "x"), (1, "One two. Three.", "x"), (2, "", "x"), (3, None, "x"), (4, " \n ", "x")], "id int, t string, char_start string")
     got = sorted((r.id, r.char_start, r.char_end) for r in split_sentences(df, "id", "t", Model()).collect())
