@@ -79,6 +79,7 @@ DEVANAGARI_THAI = regex.compile(r"[ऀ-ॣก-๎]")
 CJK = regex.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 
 NEVER, ALWAYS = -30.0, 30.0
+ENOUGH = 50  # a word met so often is judged half by the prior, half by what was learnt
 
 
 def is_thai(ch: str) -> bool:
@@ -99,9 +100,11 @@ class Model:
 
     abbreviation: dict[str, float] = field(default_factory=dict)
     starter: dict[str, float] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)  # how often each word of `abbreviation` was met
 
     def word_before(self, w: str, trust: float = 2.0) -> float:
-        """Evidence against a boundary after `w.`; what was learnt counts for at most `trust`."""
+        """Evidence against a boundary after `w.`: what was learnt counts for at most `trust` beside the
+        prior if a word is rare, and takes the place of the prior as it is met more often than ENOUGH."""
         low = plain(w)
         if len(w) == 1 and w.isupper():
             prior = 9.0
@@ -116,7 +119,10 @@ class Model:
         else:
             prior = -4.0
         learnt = self.abbreviation.get(low, 0.0)
-        return prior + max(-trust, min(trust, learnt))
+        known = self.seen.get(low, 0)
+        # a capital that stands alone was counted together with the small letter
+        weight = 0.0 if len(w) == 1 else known / (known + ENOUGH)
+        return (1 - weight) * (prior + max(-trust, min(trust, learnt))) + weight * learnt
 
 
 @dataclass
@@ -397,6 +403,8 @@ def train(texts: DataFrame, text_col: str, least: int = 4, share: float = 1e-6)
     model = Model()
     for r in seen.where(F.col("a") + F.col("b") >= max(least, share * total)).collect():
         getattr(model, r["kind"])[r["word"]] = math.log((r["a"] + 0.5) / (r["b"] + 0.5))
+        if r["kind"] == "abbreviation":
+            model.seen[r["word"]] = r["a"] + r["b"]
     return model
 
 

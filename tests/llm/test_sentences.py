@@ -90,6 +90,16 @@ def test_all_texts_are_counted(spark):
     assert model.abbreviation["kept"] == pytest.approx(math.log(0.5 / 5995.5))
 
 
+def test_what_is_learnt_outweighs_the_lists(spark):
+    """An abbreviation of no list and a listed one that is a word here, both met often before small letters or at ends."""
+    rows = [(i, f"See qvx. {i} and qvx. it.\n\nThe plan is at the tab.") for i in range(300)]
+    cut = Segmenter(train(spark.createDataFrame(rows, "id int, t string"), "t"))
+    units = ["It is kept by qvx. Bardek for now.", "It is at the tab.", "Roll two."]
+    text = " ".join(units)
+    assert [text[a:b] for a, b in cut.units(text)] == units
+    assert [text[a:b] for a, b in Segmenter().units(text)] != units
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "One two. Three.", "x"), (1, "One two. Three.", "x"), (2, "", "x"), (3, None, "x"), (4, " \n ", "x")], "id int, t string, char_start string")
     got = sorted((r.id, r.char_start, r.char_end) for r in split_sentences(df, "id", "t", Model()).collect())
