@@ -136,6 +136,14 @@ def k10(spark, sf_dir):
     return e.where("vec_id <> 0").join(F.broadcast(q)).select("vec_id", c.alias("c")).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.bround(1 - F.col("c"), 6).alias("distance"))
 
 
+@query("K10_session_searches")
+def k10_all(spark, sf_dir):
+    """K10_session_search for every row whose id is divisible by 20: cosine distance, the ten nearest of each."""
+    e = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    found = search.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
+    return found.select("query_id", "vec_id", F.bround(1 - F.col("score"), 6).alias("distance"))
+
+
 @query("L07_label_minimums", """
 WITH e AS (SELECT example_id, min(true_label) l, min(split) s FROM predictions WHERE split_strategy = 'random_stratified_split' GROUP BY 1), h AS (SELECT l, count(*) FILTER (WHERE s = 'test') h FROM e GROUP BY 1),
 r AS (SELECT e.*, h, row_number() OVER (PARTITION BY e.l, s ORDER BY example_id) k FROM e JOIN h USING (l))

@@ -116,3 +116,15 @@ def test_model_learns_and_guards(spark):
     model = ml.fit(df, "t", "l")
     assert {(r.l, r.ml_label) for r in ml.predict(model, df, "t", "l").collect()} == {("a", "a"), ("b", "b")}
     assert ml.fit(df.limit(3), "t", "l") is None
+
+
+def test_session_searches_take_all_queries(spark):
+    from actloom import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in catalog.QUERIES["K10_session_searches"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add((r.vec_id, r.distance))
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0 and embedding is not null").collect()}
+    assert set(got) == ids and all(len(x) == 10 for x in got.values())
+    assert got[0] == {(r.vec_id, r.distance) for r in catalog.QUERIES["K10_session_search"](spark, sf).collect()}
