@@ -14,6 +14,7 @@ are compared exactly.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,17 +33,24 @@ SLICE_TEXTS = 100_000  # training texts that one task streams through one index
 RARE = 16  # a match that stands at most so often in a shard is looked up
 LONG = 20  # a match of so many words is looked up however often it stands
 BLOCK = 2_000_000  # candidates or words of candidates that are held at once
+LEVELS = 1 << 20  # buckets of words for which it is known how often they stand
 LEAST_WORDS = 5
 SIMILARITY = 0.8
 
 RUN = re.compile(r"[^\W_]+")
 # Characters without width.
-WIDTHLESS = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFE0E, 0xFE0F, 0xFEFF])
+WIDTHLESS = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0e\ufe0f\ufeff]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits, in lower case and compatibility form, without characters of no width."""
-    return RUN.findall(unicodedata.normalize("NFKC", text.translate(WIDTHLESS)).lower() if not text.isascii() else text.lower())
+    return RUN.findall(unicodedata.normalize("NFKC", WIDTHLESS.sub("", text)).lower() if not text.isascii() else text.lower())
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order. (A sort: np.unique keeps a hash table, many times as slow.)"""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def hashed(text: Column) -> Column:
@@ -55,27 +63,30 @@ def hashed(text: Column) -> Column:
         for batch in batches:
             if len(known) > 1_000_000:
                 known.clear()
-            values, offsets, counts, keys = [], [0], [], []
-            for t in batch.to_pylist():
-                run = words_of(t) if t else []
-                for w in run:
-                    if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                codes = np.array([known[w] for w in run], np.uint64)
-                distinct = np.unique(codes)
-                values.append(codes)
-                offsets.append(offsets[-1] + len(codes))
-                counts.append(len(distinct))
-                keys.append(xxhash.xxh3_128_digest(distinct.tobytes()) if len(distinct) >= LEAST_WORDS else None)
-            flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            yield pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))), pa.array(counts, pa.int32()), pa.array(keys, pa.binary())],
-                ["words", "n", "key"],
-            )
+            runs = [words_of(t) if t else [] for t in batch.to_pylist()]
+            for w in {w for run in runs for w in run}.difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+            flat = np.fromiter((known[w] for run in runs for w in run), np.uint64, int(lengths.sum()))
+            members, owner, bounds = word_sets(flat, np.repeat(np.arange(len(runs)), lengths), len(runs))
+            sizes = np.diff(bounds)
+            keys = [xxhash.xxh3_128_digest(members[bounds[i] : bounds[i + 1]].tobytes()) if n >= LEAST_WORDS else None for i, n in enumerate(sizes.tolist())]
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary())], ["words", "n", "key"])
 
     return hashes(text)
 
 
+def word_sets(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of each owner in order, their owners, and where each owner's begin."""
+    order = np.lexsort((words, owner))
+    words, owner = words[order], owner[order]
+    fresh = np.ones(len(words), bool)
+    fresh[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
+    words, owner = words[fresh], owner[fresh]
+    return words, owner, np.searchsorted(owner, np.arange(n + 1))
+
+
 def sketches(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """(n, 4) 256-bit sketches of word sets. Two sets that differ in d words have sketches that differ in at most d bits."""
     out = np.zeros((n, 4), np.uint64)
@@ -86,22 +97,30 @@ def sketches(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def suffix_ranks(codes: np.ndarray) -> np.ndarray:
-    """The suffix array of a sequence in which every suffix ends differently, by doubling of sorted prefixes."""
+def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of a sequence by their first `depth` codes or more, by doubling of sorted prefixes.
+
+    That is enough for matches shorter than `depth`: a step from a match to one that is longer by a
+    code counts rows of an interval, and both intervals are told apart by the codes of the match.
+    """
     n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    step = 1
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = max(1, int(codes.max() + 1).bit_length())
+    step = max(1, 62 // bits)  # so many codes fit into the first key
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: n - k] += codes[k:].astype(np.int64) + 1 if k < n else 0
     while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1 if step < n else 0
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        if step >= depth or rank[order[-1]] == n - 1:
             return order
+        key = rank * (n + 1)
+        key[: max(0, n - step)] += rank[step:] + 1
         step *= 2
 
 
@@ -125,7 +144,7 @@ class WordIndex:
         first = np.sort(self.before)  # the first word of each row's suffix
         self.starts = np.searchsorted(first, np.arange(texts + width))  # where the rows of each word begin
         real = first >= texts
-        self.sets = np.unique(self.text_of[real].astype(np.int64) * width + (first[real] - texts))
+        self.sets = distinct(self.text_of[real].astype(np.int64) * width + (first[real] - texts))
         owner = self.sets // width
         self.sizes = np.bincount(owner, minlength=texts).astype(np.int32)
         self.bits = sketches(self.vocabulary[self.sets % width], owner, texts)
@@ -135,13 +154,14 @@ class WordIndex:
     @classmethod
     def build(cls, words: np.ndarray, offsets: np.ndarray, keys: list[bytes]) -> WordIndex:
         texts = len(offsets) - 1
-        vocabulary, code = np.unique(words, return_inverse=True)
+        vocabulary = distinct(words)
+        code = np.searchsorted(vocabulary, words)
         lengths = np.diff(offsets)
         # every text is followed by an end of its own, which sorts before all words
         sequence = np.empty(len(words) + texts, np.int32)
         sequence[np.arange(len(words)) + np.repeat(np.arange(texts), lengths)] = code + texts
         sequence[offsets[1:] + np.arange(texts)] = np.arange(texts)
-        order = suffix_ranks(sequence)
+        order = suffix_order(sequence, LONG + 1)
         return cls(vocabulary, sequence[order - 1], np.repeat(np.arange(texts, dtype=np.int32), lengths + 1)[order], keys)
 
     def code(self, words: np.ndarray) -> np.ndarray:
@@ -227,7 +247,7 @@ class WordIndex:
             near = left_of[rows] >= common
             one, other = one[near], other[near]
             near = np.bitwise_count(bits[one] ^ self.bits[other]).sum(1) <= np.minimum(sizes[one], self.sizes[other]) * (1 - similarity) / similarity + 1e-9
-            yield np.unique(one[near].astype(np.int64) * len(self.sizes) + other[near])
+            yield distinct(one[near].astype(np.int64) * len(self.sizes) + other[near])
             a = b
 
     def overlaps(self, words: np.ndarray, offsets: np.ndarray, similarity: float, rare: int = RARE, long: int = LONG, at_once: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -252,7 +272,7 @@ class WordIndex:
             here, there, least = here[near], there[near], least[near]
             differ = np.bitwise_count(bits[here] ^ self.bits[there]).sum(1)
             near = differ <= least * (1 - similarity) / similarity + 1e-9
-            merged = np.unique(here[near].astype(np.int64) * len(self.sizes) + there[near])
+            merged = distinct(here[near].astype(np.int64) * len(self.sizes) + there[near])
             known = members[code[members] >= 0]
             known_owner, known_code = owner[known], code[known]
             yield from ((i + a, j) for i, j in self.exact(merged, known_owner, known_code, sizes, similarity))
@@ -288,13 +308,14 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
 
-INDEX = "shard int, vocabulary binary, before binary, text_of binary, keys binary"
+INDEX = "shard int, piece int, vocabulary binary, before binary, text_of binary, keys binary"
 
 
 def _build(table: pa.Table) -> pa.Table:
     words, offsets = _lists(table["words"])
     ix = WordIndex.build(words, offsets, table["key"].to_pylist())
-    row = [pa.array([table["shard"][0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (ix.vocabulary, ix.before, ix.text_of)], pa.array([b"".join(ix.keys)], pa.binary())]
+    row = [pa.array([table[c][0].as_py()], pa.int32()) for c in ("shard", "piece")]
+    row += [*[pa.array([x.tobytes()], pa.binary()) for x in (ix.vocabulary, ix.before, ix.text_of)], pa.array([b"".join(ix.keys)], pa.binary())]
     return pa.table(row, names=[x.split()[0] for x in INDEX.split(", ")])
 
 
@@ -314,18 +335,73 @@ def _search(index: pa.Table, stream: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"key_a": pa.array(a, pa.binary()), "key_b": pa.array(b, pa.binary())})
 
 
+def word_levels(classes: DataFrame) -> np.ndarray:
+    """How often words stand on the evaluation side, as a level for each of LEVELS buckets of words; 0 for none.
+    What comes to the driver is a row for a bucket, however many words and texts there are."""
+    words = classes.where("is_eval").select(F.explode("words").alias("word"))
+    counts = words.groupBy(F.pmod("word", F.lit(LEVELS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(LEVELS, np.uint8)
+    out[counts["bucket"].to_numpy()] = 1 + np.floor(np.log2(counts["n"].to_numpy())).astype(np.uint8)
+    return out
+
+
+def routes(words: Column, levels: np.ndarray, shards: int, similarity: float) -> Column:
+    """ARRAY<INT> the shards that a text meets its partners in. Words stand in one order for all texts,
+    the rarest first; the first word that two similar texts share is then among the first
+    n - similarity * n + 1 of either's n words, so those name the shards. Words that the evaluation
+    side doesn't have name none."""
+
+    @F.arrow_udf("array<int>")
+    def routed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, offsets = _lists(pa.chunked_array([batch]))
+            n = len(offsets) - 1
+            flat, owner, bounds = word_sets(flat, np.repeat(np.arange(n), np.diff(offsets)), n)
+            level = levels[(flat.view(np.int64) % LEVELS)]
+            order = np.lexsort((flat, level, owner))
+            sizes = np.diff(bounds)
+            place = np.arange(len(flat)) - np.repeat(bounds[:-1], sizes)
+            first = place < np.repeat(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, sizes)
+            order = order[first]
+            order = order[level[order] > 0]
+            with np.errstate(over="ignore"):
+                shard = ((flat[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(shards)
+            named = distinct(owner[order] * shards + shard.astype(np.int64))
+            yield pa.ListArray.from_arrays(pa.array(np.searchsorted(named // shards, np.arange(n + 1)).astype(np.int32)), pa.array((named % shards).astype(np.int32)))
+
+    return routed(words)
+
+
 def class_pairs(classes: DataFrame, similarity: float = SIMILARITY, shard_words: int = SHARD_WORDS, slice_texts: int = SLICE_TEXTS) -> DataFrame:
     """(key_a, key_b), key_a < key_b: classes of (key, words, n, is_train, is_eval), one of them on
-    each side, that overlap. classes is read several times: hand in a written table."""
+    each side, that overlap. classes is read several times: hand in a written table.
+
+    While the evaluation side fills fewer shards than a text has words that could name one, a
+    training text meets all of them; beyond that both sides go to the shards that their rarest words
+    name, so a text is copied by its own length at most and not by the size of the other side. A
+    shard that a word of many texts fills is cut into pieces, each an index of its own, and the
+    training texts that meet it into slices.
+    """
     spark = classes.sparkSession
-    n = classes.agg(F.sum(F.when(F.col("is_eval"), F.size("words"))).alias("words"), F.count_if("is_train").alias("texts")).first()
-    shards = max(1, -(-(n["words"] or 0) // shard_words))
-    slices = max(1, -(-n["texts"] // slice_texts), min(-(-n["texts"] // 2000), -(-spark.sparkContext.defaultParallelism // shards)))
-    part = lambda salt, of: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(of)).cast("int")
-    built = classes.where("is_eval").select(part("shard", shards).alias("shard"), "key", "words").groupBy("shard").applyInArrow(_build, INDEX)
-    index = cut_lineage(built).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    stream = classes.where("is_train").select("key", "words", part("slice", slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = index.groupBy("shard", "slice").cogroup(stream.groupBy("shard", "slice")).applyInArrow(lambda i, s: _search(i, s, similarity), "key_a binary, key_b binary")
+    names = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    n = classes.agg(F.sum(F.when(F.col("is_eval"), F.size("words"))).alias("words"), F.count_if("is_train").alias("texts"), F.avg(names).alias("names")).first()
+    shards, copies = max(1, -(-(n["words"] or 0) // shard_words)), math.ceil(n["names"] or 1)
+    hashed_to = lambda salt, of: F.pmod(F.xxhash64("key", F.lit(salt)), of).cast("int")
+    if shards <= copies:
+        met = {"is_eval": F.array(hashed_to("shard", F.lit(shards))), "is_train": F.sequence(F.lit(0), F.lit(shards - 1))}
+    else:
+        shards *= copies
+        classes = cut_lineage(classes.withColumn("named", routes(F.col("words"), word_levels(classes), shards, similarity)))
+        met = dict.fromkeys(("is_eval", "is_train"), F.col("named"))
+    side = lambda flag: classes.where(flag).select("key", "words", F.explode(met[flag]).alias("shard"))
+    fill = min(-(-n["texts"] // 2000), -(-spark.sparkContext.defaultParallelism // shards))
+    load = side("is_eval").groupBy("shard").agg(F.sum(F.size("words")).alias("w")).join(side("is_train").groupBy("shard").agg(F.count(F.lit(1)).alias("t")), "shard")
+    load = cut_lineage(load.select("shard", F.ceil(F.col("w") / (1.5 * shard_words)).cast("int").alias("pieces"), F.greatest(F.ceil(F.col("t") / slice_texts).cast("int"), F.lit(fill)).alias("slices")))
+    built = side("is_eval").join(load, "shard").withColumn("piece", hashed_to("piece", F.col("pieces"))).select("shard", "piece", "key", "words").groupBy("shard", "piece").applyInArrow(_build, INDEX)
+    index = cut_lineage(built).join(load.select("shard", "slices"), "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    stream = side("is_train").join(load, "shard").select("key", "words", "shard", hashed_to("slice", F.col("slices")).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    at = ["shard", "piece", "slice"]
+    found = index.groupBy(at).cogroup(stream.groupBy(at)).applyInArrow(lambda i, s: _search(i, s, similarity), "key_a binary, key_b binary")
     return found.distinct()
 
 

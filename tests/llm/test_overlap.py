@@ -61,8 +61,11 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     many = ov.cross_split_overlaps(df, "s", "id", "text", "split").collect()
     monkeypatch.setattr(ov.class_pairs, "__defaults__", (0.8, 900, 40))
     few = ov.cross_split_overlaps(df, "s", "id", "text", "split").collect()
+    # so many shards that words name those a text meets; some are cut into pieces
+    monkeypatch.setattr(ov.class_pairs, "__defaults__", (0.8, 60, 10))
+    routed = ov.cross_split_overlaps(df, "s", "id", "text", "split").collect()
     assert len(want) > 50
-    for got in (many, few):
+    for got in (many, few, routed):
         assert sorted((r.s, r.id_a, r.id_b) for r in got) == sorted(want)
 
 
@@ -85,6 +88,23 @@ def test_family_of_short_variants(monkeypatch):
         assert sorted(found_pairs(family[:60], family[60:])) == [(i, j) for i in range(60) for j in range(40)]
 
 
+def test_families_of_many_variants(spark, monkeypatch):
+    """Families of 17, 100 and 1,000 texts, short and long: all links are found, in one shard and in routed ones."""
+    rows = []
+    for size in (17, 100, 1000):
+        for base in ("a b c d e f {} g h i j k", " ".join(f"w{i} x{i} y{i} z{i} {{}}" for i in range(12))):
+            fresh = [f"v{i}" for i in range(size)]
+            rows += [(f"{size}{base[0]}{i}", base.format(*[f"{size}{base[0]}{v}"] * 12), "train" if i % 50 else "test") for i, v in enumerate(fresh)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "s string, id string, text string, split string")
+    sets = [(i, set(ov.words_of(t)), p) for i, t, p in rows]
+    tests, trains = [x for x in sets if x[2] == "test"], [x for x in sets if x[2] == "train"]
+    want = {(min(i, j), max(i, j)) for i, x, _ in tests for j, y, _ in trains if len(x & y) >= 0.8 * len(x | y) - 1e-9}
+    assert len(want) > 20_000
+    for words in (2_000_000, 100):
+        monkeypatch.setattr(ov.class_pairs, "__defaults__", (0.8, words, 500))
+        assert {(r.id_a, r.id_b) for r in ov.cross_split_overlaps(df, "s", "id", "text", "split").collect()} == want
+
+
 def test_frequent_words_against_brute_force():
     """Few words, many texts, other orders, sizes that differ; a pair comes once."""
     rnd = random.Random(9)
