@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actloom.core.session import cut_lineage
+
 # Ranges of Default_Ignorable_Code_Point.
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
@@ -160,9 +162,11 @@ def same_look(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def same_look_as_previous(df: DataFrame, group: str, number: str, text: str, id_col: str) -> DataFrame:
     """(id) of the rows whose text differs from that of the row of the same group with a number
-    lower by one, yet has one form. Only digests are shuffled. Repeated rows count once; rows
-    with a null group, number or text are no case, nor are rows after a gap."""
+    lower by one, yet has one form. Each text is read and brought to its form once and its digests
+    written; only they are shuffled. Several texts under one number become one row a form before
+    the join, so no two rows of a number are paired. Repeated rows count once; rows with a null
+    group, number or text are no case, nor are rows after a gap."""
     keys = df.where(F.col(group).isNotNull() & F.col(number).isNotNull() & F.col(text).isNotNull())
-    keys = keys.select(id_col, group, F.col(number).cast("bigint").alias("_n"), F.unhex(F.sha2(text, 256)).alias("_raw"), form_key(F.col(text)).alias("_form")).distinct()
-    old = keys.select(group, (F.col("_n") + 1).alias("_n"), F.col("_raw").alias("_raw0"), F.col("_form").alias("_form0"))
-    return keys.join(old, [group, "_n"]).where("_form = _form0 and _raw <> _raw0").select(id_col).distinct()
+    keys = cut_lineage(keys.select(F.col(id_col).alias("_id"), F.col(group).alias("_g"), F.col(number).cast("bigint").alias("_n"), F.unhex(F.sha2(text, 256)).alias("_raw"), form_key(F.col(text)).alias("_form")))
+    old = keys.groupBy("_g", (F.col("_n") + 1).alias("_n"), "_form").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"))
+    return keys.join(old, ["_g", "_n", "_form"]).where("_lo <> _raw or _hi <> _raw").select(F.col("_id").alias(id_col)).distinct()
