@@ -14,13 +14,12 @@ import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
 
 SPLITS = ("train", "validation", "test")
-HEAVY_SHARE = 1 / 1000  # components from this share of a strategy's weight on are placed one by one: at most 1,000 a strategy
 BUCKETS = 4096
 
 
@@ -51,48 +50,59 @@ class Strategy:
         return [tagged(name) for name in self.fields]
 
 
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as a written table, and how many of its rows are edges: counted by the write itself."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count_if("is_edge").alias("edges")))
+    return table, seen.get["edges"] or 0
+
+
 def contract(edges: DataFrame, ns: str = "ns", seed: int = 1, most_rounds: int = 200) -> DataFrame:
     """(ns, node, root) of every vertex of edges (ns, a, b); root is one vertex of its component.
 
-    Null ends and loops are left out; repeated and reversed edges count once. A component's
-    root depends only on edges and seed. No edges, no rows. Each round reads the edges that
-    are left and writes its map and the renamed edges to the checkpoint folder; joins are
-    equi-joins on a vertex against a map with one row per vertex, which AQE splits if hot.
+    Null ends and loops are left out; repeated and reversed edges count once. No edges, no rows.
+    Vertices are numbered once, so the rounds move 64-bit numbers. A round is one job: it writes its
+    map and the renamed edges to the checkpoint folder as one table, and the write counts the edges.
+    Joins are equi-joins on a vertex against a map with one row a vertex, which AQE splits if hot.
     """
+    named = edges.where("a is not null and b is not null and a <> b").select(ns, "a", "b").distinct()
+    ends = named.select(ns, F.explode(F.array("a", "b")).alias("node")).distinct()
+    vertices = cut_lineage(ends.withColumn("v", F.monotonically_increasing_id()))  # written: the numbers stay
+    number = lambda end: vertices.select(ns, F.col("node").alias(end), F.col("v").alias(f"_{end}"))
     lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = cut_lineage(edges.where("a is not null and b is not null and a <> b").select(ns, lo, hi).distinct())
+    numbered = named.join(number("a"), [ns, "a"]).join(number("b"), [ns, "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    left, n = written(numbered.select(lo, hi).distinct().withColumn("is_edge", F.lit(True)))
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while n:
         if len(maps) == most_rounds:
             raise RuntimeError(f"edges are left after {most_rounds} rounds")
 
         def heads(node: str, at: int = len(maps)) -> Column:
-            return F.pmod(F.xxhash64(ns, node, F.lit(seed), F.lit(at)), F.lit(2)) == 1
+            return F.pmod(F.xxhash64(node, F.lit(seed), F.lit(at)), F.lit(2)) == 1
 
-        ends = edges.select(ns, "a", "b", heads("a").alias("ha"), heads("b").alias("hb")).where("ha <> hb")
-        step = (
-            ends.select(ns, F.when(F.col("ha"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("ha"), F.col("a")).otherwise(F.col("b")).alias("root"))
-            .groupBy(ns, "node")
-            .agg(F.min("root").alias("root"))
-        )
-        step = cut_lineage(step)
-        maps.append(step)
+        ends = left.select("a", "b", heads("a").alias("ha"), heads("b").alias("hb")).where("ha <> hb")
+        step = ends.select(F.when(F.col("ha"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("ha"), F.col("a")).otherwise(F.col("b")).alias("root"))
+        step = step.groupBy("node").agg(F.min("root").alias("root"))
 
         def renamed(df: DataFrame, end: str, step: DataFrame = step) -> DataFrame:
-            to = step.select(ns, F.col("node").alias(end), F.col("root").alias("_to"))
-            return df.join(to, [ns, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+            to = step.select(F.col("node").alias(end), F.col("root").alias("_to"))
+            return df.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
 
-        edges = cut_lineage(renamed(renamed(edges, "a"), "b").where("a <> b").select(ns, lo, hi).distinct())
+        fewer = renamed(renamed(left.select("a", "b"), "a"), "b").where("a <> b").select(lo, hi).distinct()
+        both, n = written(fewer.withColumn("is_edge", F.lit(True)).unionByName(step.select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(False).alias("is_edge"))))
+        maps.append(both.where("not is_edge").select(F.col("a").alias("node"), F.col("b").alias("root")))
+        left = both.where("is_edge").select("a", "b")
     if not maps:
-        return edges.select(ns, F.col("a").alias("node"), F.col("b").alias("root"))
+        return vertices.select(ns, "node", F.col("node").alias("root"))
     known = maps.pop()
     while maps:
         step = maps.pop()
-        later = known.select(ns, F.col("node").alias("root"), F.col("root").alias("_to"))
-        resolved = step.join(later, [ns, "root"], "left").select(ns, "node", F.coalesce("_to", "root").alias("root"))
-        known = cut_lineage(known.unionByName(resolved))  # it is read twice a step: uncut, the plan would double each time
-    roots = known.select(ns, F.col("root").alias("node"), "root").distinct()
-    return known.unionByName(roots)
+        resolved = step.join(known.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+        known = known.unionByName(resolved)
+        if len(maps) % 2 == 0:  # it is read twice a step: uncut, the plan would double each time
+            known = cut_lineage(known)
+    labelled = vertices.join(known.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    return labelled.select(ns, "node", F.col("root").cast("string").alias("root"))
 
 
 def with_groups(records: DataFrame, strategies: Sequence[Strategy], ns: str = "split_strategy", id_col: str = "example_id") -> DataFrame:
@@ -119,7 +129,7 @@ def with_groups(records: DataFrame, strategies: Sequence[Strategy], ns: str = "s
     roots = contract(pairs.select(ns, F.col("__first").alias("a"), "b"), ns).select(ns, F.col("node").alias("__first"), F.col("root").alias("__root"))
     return (
         keyed.join(roots, [ns, "__first"], "left")
-        .withColumn("group_key", F.coalesce("__root", "__first", F.concat(F.lit("alone="), F.col(id_col).cast("string"))))
+        .withColumn("group_key", F.coalesce(F.concat(F.lit("component="), F.col("__root")), "__first", F.concat(F.lit("alone="), F.col(id_col).cast("string"))))
         .select(*records.columns, "group_key")
     )
 
@@ -134,36 +144,29 @@ def parted_groups(grouped: DataFrame, ns: str = "split_strategy", split: str = "
 def assign(grouped: DataFrame, strategies: Sequence[Strategy], ns: str = "split_strategy") -> DataFrame:
     """(ns, group_key, assigned): a split for every group, by cumulative weight.
 
-    Heavy groups (at most 1,000 a strategy) go one by one, the heaviest first, to the split that
-    is furthest below its share. The others stand in seeded hash order; where the running sum of
-    their weights begins decides, so the shares are met to within one light group. The running
-    sum is taken over hash buckets and then within each.
+    The groups of a strategy stand in one order, the heaviest first and those of one weight by a
+    seeded hash. A group belongs to the split in whose stretch of the running sum its middle lies,
+    so where a split ends the shares are missed by half a group at most, and the groups there are
+    light unless all are heavy. Ties of the hash go by the key. The running sum is taken over
+    weights (at most the root of twice the number of rows), over hash buckets of a weight, and then
+    within each bucket by rank; no task sees the groups of a weight as a whole.
     """
-    weights = cut_lineage(grouped.groupBy(ns, "group_key").agg(F.count(F.lit(1)).alias("weight")))
-    totals = {r[ns]: r["n"] for r in weights.groupBy(ns).agg(F.sum("weight").alias("n")).collect()}  # one row a strategy
-    is_heavy = functools.reduce(lambda c, s: c.when(F.col(ns) == s, F.col("weight") >= max(2, totals[s] * HEAVY_SHARE)), totals, F.when(F.lit(False), F.lit(False)))
-    marked = weights.withColumn("_heavy", F.coalesce(is_heavy, F.lit(False)))
-    spec = {s.name: s for s in strategies}
-    room = {s: [spec[s].shares[i] * totals[s] for i in range(3)] for s in totals}
-    placed = []
-    for r in sorted(marked.where("_heavy").collect(), key=lambda r: (-r["weight"], r["group_key"])):  # bounded by HEAVY_SHARE
-        left = room[r[ns]]
-        best = max(range(3), key=lambda i: (left[i], -i))
-        left[best] -= r["weight"]
-        placed.append((r[ns], r["group_key"], SPLITS[best]))
-    heavy = grouped.sparkSession.createDataFrame(placed, f"{ns} string, group_key string, assigned string")
-
     order = functools.reduce(lambda c, s: c.when(F.col(ns) == s.name, F.xxhash64(F.lit(s.seed), "group_key")), strategies, F.when(F.lit(False), F.lit(0)))
-    light = marked.where("not _heavy").withColumn("_h", order).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKETS.bit_length() + 1))
-    sums = light.groupBy(ns, "_bucket").agg(F.sum("weight").alias("_w"))
-    before = Window.partitionBy(ns).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(ns, "_bucket", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(ns, "_bucket").orderBy("_h", "group_key").rowsBetween(Window.unboundedPreceding, -1)
-    cumulated = light.withColumn("_in", F.coalesce(F.sum("weight").over(inside), F.lit(0))).join(sums, [ns, "_bucket"])
-    at = F.col("_before") + F.col("_in")
+    weights = grouped.groupBy(ns, "group_key").agg(F.count(F.lit(1)).alias("weight")).withColumn("_h", order)
+    weights = cut_lineage(weights.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKETS.bit_length() + 1)))
+    cells = weights.groupBy(ns, "weight", "_bucket").agg(F.sum("weight").alias("_w"))
+    heavier = Window.partitionBy(ns).orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy(ns, "weight").agg(F.sum("_w").alias("_w"))
+    above = sums.select(ns, "weight", F.coalesce(F.sum("_w").over(heavier), F.lit(0)).alias("_above"))
+    before = Window.partitionBy(ns, "weight").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(ns, "weight", "_bucket", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before")).join(above, [ns, "weight"])
+    within = Window.partitionBy(ns, "weight", "_bucket").orderBy("_h", "group_key")
+    placed = weights.withColumn("_k", F.row_number().over(within)).join(starts, [ns, "weight", "_bucket"])
+    middle = F.col("_above") + F.col("_before") + F.col("weight") * (F.col("_k") - 0.5)
+    totals = {r[ns]: r["n"] for r in sums.groupBy(ns).agg(F.sum("_w").alias("n")).collect()}  # one row a strategy
     cases = F.when(F.lit(False), F.lit(""))
-    for s, left in room.items():
-        free = [max(0.0, x) for x in left]
-        scale = (totals[s] - sum(w for w in (spec[s].shares[i] * totals[s] - left[i] for i in range(3)))) / (sum(free) or 1)
-        cases = cases.when((F.col(ns) == s) & (at < free[0] * scale), "train").when((F.col(ns) == s) & (at < (free[0] + free[1]) * scale), "validation").when(F.col(ns) == s, "test")
-    return cumulated.select(ns, "group_key", cases.alias("assigned")).unionByName(heavy)
+    for s in strategies:
+        share = [x * totals.get(s.name, 0) / (sum(s.shares) or 1) for x in s.shares]
+        at = F.col(ns) == s.name
+        cases = cases.when(at & (middle < share[0]), SPLITS[0]).when(at & (middle < share[0] + share[1]), SPLITS[1]).when(at, SPLITS[2])
+    return placed.select(ns, "group_key", cases.alias("assigned"))

@@ -65,3 +65,20 @@ def test_assignment_keeps_groups_and_shares(spark):
     n = {r.assigned: r.n for r in grouped.join(given, ["split_strategy", "group_key"]).groupBy("assigned").agg(F.count("*").alias("n")).collect()}
     assert abs(n["train"] / 3000 - 0.6) < 0.01 and abs(n["validation"] / 3000 - 0.25) < 0.01
     assert gs.assign(grouped.limit(0), plan).count() == 0
+
+
+def test_assignment_is_by_cumulative_weight(spark):
+    """Two fields, groups of all weights: every group where the middle of its stretch lies, the heaviest first."""
+    rnd = random.Random(5)
+    rows = [("s", f"e{i}", "train", f"d{int(rnd.paretovariate(0.5)) % 1500}", f"p{rnd.randrange(6000)}" if i % 9 == 0 else None, "k") for i in range(4000)]
+    plan = [gs.Strategy("s", ("document_id", "pair_id"), (0.5, 0.3, 0.2), 3)]
+    grouped = gs.with_groups(spark.createDataFrame(rows, KIND), plan)
+    given = {r.group_key: r.assigned for r in gs.assign(grouped, plan).collect()}
+    sizes = {r.group_key: r["count"] for r in grouped.groupBy("group_key").count().collect()}
+    assert set(given) == set(sizes) and sum(sizes.values()) == 4000
+    by_split = {s: sorted(sizes[g] for g in given if given[g] == s) for s in gs.SPLITS}
+    assert min(by_split["train"] or [0]) >= max(by_split["validation"] or [0]) >= min(by_split["validation"] or [0]) >= max(by_split["test"] or [0])
+    at, bounds = 0, {"train": 2000, "validation": 3200, "test": 4000}
+    for s in gs.SPLITS:
+        at += sum(by_split[s])
+        assert abs(at - bounds[s]) <= max(sizes.values()) / 2
