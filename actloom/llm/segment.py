@@ -1,8 +1,8 @@
 """Cutting items that are too long into pieces, at valleys of lexical cohesion.
 
-Words are hashed into a short vector per stretch between two pauses of the text. The cosine of
-the summed vectors of the blocks before and after a pause is its cohesion; how far that lies
-below the peaks to either side is the depth of its valley. Each piece ends at the deepest valley
+Words are counted per stretch between two sentence ends, and weighted by how few stretches of the
+text they stand in and how narrowly these lie. The cosine of the counts of the blocks before and after a sentence end is its
+cohesion; how far that lies below the peaks to either side is the depth of its valley. Each piece ends at the deepest valley
 of its size window, where the text pauses at all: at a blank line or sentence end if there is
 one, else at a line end, clause or space, and inside a word only if a run without any of these
 is longer than the limit. The next piece begins up to `overlap` characters earlier, at a pause.
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = 64
-BLOCK = 4  # stretches to either side that are compared
+BLOCK = 10  # stretches to either side that are compared
 SENTENCE_MARKS = ".!?…。！？।۔؟"
 WIDE_MARKS = "。！？।۔؟…"
 CLAUSE_MARKS = ",;:，、；：،؛"
+WIDE_CLAUSE_MARKS = "，、；："  # no blank follows
 CLOSERS = "\"'»”’」』)）]】“"
 
 # ranks of a pause
@@ -46,7 +46,7 @@ def _tables() -> dict[str, np.ndarray]:
     for a, b in ((0xE00, 0xE80), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x30000)):
         unspaced[a:b] = True
     joins = flag(lambda c: unicodedata.category(c)[0] == "M" or c == "‍")
-    return {"word": word, "space": space, "mark": of(SENTENCE_MARKS), "wide": of(WIDE_MARKS), "clause": of(CLAUSE_MARKS), "closer": of(CLOSERS), "lower": lower, "unspaced": unspaced, "joins": joins}
+    return {"word": word, "space": space, "mark": of(SENTENCE_MARKS), "wide": of(WIDE_MARKS), "clause": of(CLAUSE_MARKS), "wide_clause": of(WIDE_CLAUSE_MARKS), "closer": of(CLOSERS), "lower": lower, "unspaced": unspaced, "joins": joins}
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Piece:
     start: int
     end: int
     fresh: int  # where the characters begin that the piece before does not have
-    hard: bool  # it ends inside a run that has no pause
+    hard: bool  # it ends inside a run without white space or end marks that is longer than the limit
 
 
 def pauses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,7 @@ def pauses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.zeros(n + 1, np.uint8)
     pause = space | mark
     rank[np.flatnonzero(pause[1:] & ~pause[:-1]) + 1] = RUN_END
+    rank[np.flatnonzero(t["wide_clause"][points]) + 1] = CLAUSE
     rank[np.flatnonzero(mark) + 1] = SPLIT_MARK
     rank[np.flatnonzero(t["wide"][points]) + 1] = SENTENCE
     # a run of white space: the cut lies after it
@@ -97,37 +98,70 @@ def pauses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, rank[places]
 
 
-def depths(points: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-    """The depth of the cohesion valley at each gap, 0 to 2."""
+def word_codes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, 64-bit hash) of every word; a character of a script without spaces is a word."""
     t = _tables()
-    if len(gaps) < 3:
-        return np.zeros(len(gaps))
     word = t["word"][points]
-    before = np.concatenate([[False], word[:-1]])
-    unspaced = t["unspaced"][points]
-    begins = np.flatnonzero(word & (~before | unspaced))
+    begins = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | t["unspaced"][points]))
     if not len(begins):
-        return np.zeros(len(gaps))
+        return begins, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         values = np.where(word, t["lower"][points] + np.uint64(1), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)
         rolled = values ^ (values >> np.uint64(29))
         first = begins[0]
         place = np.arange(len(points) - first) - np.repeat(begins - first, np.diff(np.append(begins, len(points))))
-        total = np.add.reduceat(rolled[first:] * (place.astype(np.uint64) + np.uint64(3)), begins - first)
-        code = ((total * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)).astype(np.int64)
-    segment = np.searchsorted(gaps, begins, "right")
-    counts = np.bincount(segment * DIMENSIONS + code, minlength=(len(gaps) + 1) * DIMENSIONS).reshape(len(gaps) + 1, DIMENSIONS).astype(np.float32)
-    sums = np.concatenate([np.zeros((1, DIMENSIONS), np.float32), np.cumsum(counts, 0, dtype=np.float64).astype(np.float32)])
-    i = np.arange(1, len(gaps) + 1)
-    left = sums[i] - sums[np.maximum(i - BLOCK, 0)]
-    right = sums[np.minimum(i + BLOCK, len(gaps) + 1)] - sums[i]
-    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    cohesion = (left * right).sum(1) / np.maximum(norm, 1e-6)
-    # peaks: the highest cohesion within a few gaps to either side
+        total = np.add.reduceat(rolled[first:] * (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(3)), begins - first)
+    return begins, total
+
+
+def cohesion(points: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """At each gap the cosine of the word counts of the BLOCK stretches before it and after it.
+
+    Counts are exact and weighted by how few stretches of the text a word stands in and how near
+    together these lie, so words that stand everywhere say nothing; nor does a word of one stretch.
+    """
+    begins, codes = word_codes(points)
+    stretches = len(gaps) + 1
+    order = np.lexsort((begins, codes))
+    codes, at = codes[order], np.searchsorted(gaps, begins[order], "right")
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])
+    first = np.flatnonzero(fresh)
+    count = np.diff(np.append(first, len(codes)))
+    codes, at = codes[first], at[first]  # one entry a word and stretch, by word and then by stretch
+    new_word = np.concatenate([[True], codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, bool)
+    word = np.cumsum(new_word) - 1
+    starts = np.flatnonzero(new_word)
+    times = np.diff(np.append(starts, len(word)))
+    span = (at[starts + times - 1] - at[starts]) / stretches if len(word) else at
+    rarity = np.where(times > 1, np.log((stretches + 1) / np.maximum(times, 1)) * (1 - span), 0.0)
+    weight = np.log1p(count) * rarity[word]
+    # products of the stretches that lie less than two blocks apart: band[j, d] is that of j and j + d
+    reach = 2 * BLOCK
+    band = np.zeros((stretches + 2 * reach, reach))
+    band[reach : reach + stretches, 0] = np.bincount(at, weight * weight, stretches)
+    for d in range(1, reach):
+        apart = at[d:] - at[:-d]
+        near = np.flatnonzero((word[d:] == word[:-d]) & (apart < reach))
+        if not len(near):
+            break
+        band[reach : reach + stretches] += np.bincount(at[near] * reach + apart[near], weight[near] * weight[near + d], stretches * reach).reshape(stretches, reach)
+    i = np.arange(1, stretches) + reach
+    both = sum(band[i - a, a + b] for a in range(1, BLOCK + 1) for b in range(BLOCK))
+    own = sum((1 if d == 0 else 2) * band[i - a, d] for a in range(1, BLOCK + 1) for d in range(a))
+    other = sum((1 if d == 0 else 2) * band[i + b, d] for b in range(BLOCK) for d in range(BLOCK - b))
+    return both / np.maximum(np.sqrt(own * other), 1e-9)
+
+
+def depths(points: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The depth of the cohesion valley at each gap, 0 to 2."""
+    if len(gaps) < 3:
+        return np.zeros(len(gaps))
+    level = cohesion(points, gaps)
+    # peaks: the highest cohesion within a block to either side
     reach = 2 * BLOCK
-    padded = np.pad(cohesion, reach, mode="edge")
-    views = np.lib.stride_tricks.sliding_window_view(padded, reach + 1)
-    return np.maximum(views[: len(gaps)].max(1) - cohesion, 0) + np.maximum(views[reach : reach + len(gaps)].max(1) - cohesion, 0)
+    views = np.lib.stride_tricks.sliding_window_view(np.pad(level, reach, mode="edge"), reach + 1)
+    return np.maximum(views[: len(gaps)].max(1) - level, 0) + np.maximum(views[reach : reach + len(gaps)].max(1) - level, 0)
 
 
 def cut(text: str, limit: int, overlap: int) -> list[Piece]:
@@ -146,6 +180,14 @@ def cut(text: str, limit: int, overlap: int) -> list[Piece]:
     ends = by_rank[SENTENCE]
     depth = depths(points, ends) + 0.1 * (ranks[ranks >= SENTENCE] == PARAGRAPH)
     joins = _tables()["joins"]
+    stops = np.flatnonzero(_tables()["space"][points] | _tables()["mark"][points])
+
+    def in_long_run(end: int) -> bool:
+        """Whether a cut lies inside a run without white space or end marks that is longer than the limit."""
+        k = int(np.searchsorted(stops, end, "left"))
+        first = int(stops[k - 1]) + 1 if k else 0
+        return first < end and (int(stops[k]) if k < len(stops) else n) - first > limit and (k == len(stops) or stops[k] != end)
+
     out: list[Piece] = []
     at, start = 0, 0
     while n - start > limit:
@@ -169,19 +211,20 @@ def cut(text: str, limit: int, overlap: int) -> list[Piece]:
                 if end:
                     break
             if not end:
-                start = at
-                if n - at <= limit:
-                    break  # without an overlap the rest is one piece
-                hard, end = True, at + limit
+                if n - at <= limit:  # with less of an overlap the rest is one piece
+                    start = max(start, n - limit) if in_long_run(at) else at
+                    break
+                end = start + limit
                 while end > at + 1 and joins[points[end]]:
                     end -= 1
             elif end - start > limit:
                 start = at  # a long run is kept whole without an overlap before it
+            hard = in_long_run(end)
         out.append(Piece(start, end, at, hard))
         at = start = end
         if overlap and n - at > 0:
             least = max(end - overlap, out[-1].fresh)
-            for rank in (SENTENCE, LINE, SPACE):
+            for rank in (SENTENCE, LINE, CLAUSE, SPACE):
                 k = int(np.searchsorted(by_rank[rank], least, "left"))
                 if k < len(by_rank[rank]) and by_rank[rank][k] < end:
                     start = int(by_rank[rank][k])

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ RUN = re.compile(r"[^\s.!?…。！？।۔؟]+")
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("abé 。.\n,!?ก")), max_size=400), st.integers(5, 60), st.integers(0, 20))
+@given(st.text(st.sampled_from(list("abé 。.\n,，!?ก")), max_size=400), st.integers(5, 60), st.integers(0, 20))
 def test_pieces_give_back_the_text(text, limit, overlap):
     overlap = min(overlap, limit - 1)
     pieces = segment.cut(text, limit, overlap)
@@ -27,6 +28,32 @@ def test_cut_at_the_change_of_topic():
     assert first.end == len(cats) * 9
 
 
+def test_boundary_between_vocabularies():
+    """Two topics with words of their own and shared function words: the deepest valley of the window is the boundary."""
+    hits = 0
+    for k in range(100):
+        rnd = random.Random(k)
+        common = [f"f{i}" for i in range(20)]
+        topics = [[f"{side}{rnd.randrange(10**6)}" for _ in range(60)] for side in "ab"]
+        sentence = lambda t: " ".join(rnd.choice(common if rnd.random() < 0.5 else topics[t]) for _ in range(rnd.randint(8, 14))).capitalize() + ". "
+        sides = ["".join(sentence(t) for _ in range(rnd.randint(12, 18))) for t in (0, 1)]
+        limit = int(len(sides[0]) * rnd.uniform(1.1, 1.7))
+        hits += segment.cut("".join(sides), limit, 0)[0].end == len(sides[0])
+    assert hits >= 80
+
+
+def test_clause_marks_without_blanks_are_pauses():
+    text = ("甲" * 15 + "，") * 40
+    pieces = segment.cut(text, 100, 20)
+    assert all(text[p.end - 1] == "，" for p in pieces[:-1])
+    assert all(p.hard for p in pieces[:-1]) and all(p.fresh - p.start == 16 for p in pieces[1:])
+    assert not any(p.hard for p in segment.cut(("甲" * 15 + "，" + "乙" * 15 + "。") * 10, 40, 0))
+
+
+def test_overlap_of_a_run_without_pauses():
+    assert [(p.start, p.end, p.fresh) for p in segment.cut("x" * 25, 10, 4)] == [(0, 10, 0), (6, 16, 10), (15, 25, 16)]
+
+
 def test_overlap_begins_at_a_pause():
     text = "One two three four. " * 30
     for p in segment.cut(text, 120, 40)[1:]:
