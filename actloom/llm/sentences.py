@@ -1,19 +1,19 @@
-"""Sentence units of texts in any script, by a linear-chain model.
-
-Every character is a boundary or inside. All but a few are inside by rule, so the chain is run
-over the candidates only (end marks with their closers, line breaks, spaces between letters of
-a script that writes none between words), which is the same as running it over all characters
-with the others clamped. A candidate's score is a sum of feature weights:
-
-* rules of the text type: a blank line cuts; a line break cuts after a sentence end, colon or
-  semicolon only; nothing cuts inside an open quotation or inside the label at a line's start;
-* what is known of the word before a period and the word after it. These log-odds are trained on
-  the texts themselves: a period before a lower-case letter, a digit or a comma shows an
-  abbreviation, one at a paragraph's end shows none; a word at a paragraph's start shows how
-  sentences start. What is met too seldom falls back on the fixed lists below.
-
-Transitions keep a unit from being a bare label. Viterbi picks the best labelling of each
-paragraph; blank lines cut the chain.
+"""Sentence units of texts in any script, by trained linear chains.
+
+Every character is a boundary or inside. All but a few are inside by rule, so the first chain is run
+over the candidates only (end marks with their closers, line breaks, spaces between letters of a
+script that writes none between words), which is the same as running it over all characters with the
+others clamped. What TESTDATA.md states of units is clamped too: a blank line cuts, a line break cuts
+after a sentence end, colon or semicolon only, nothing cuts inside an open quotation or a label, a
+question or exclamation mark and the end marks of other scripts cut. What is left is a period, and
+its score is a sum of trained weights of features: the word before it, the one before that, their
+shapes, what follows, how both are met in all texts, and whether the word is on one of the lists.
+
+Weights come from an averaged structured perceptron over a bounded sample of texts, decoded with
+Viterbi. Its labels are taken from layout (see `labels`): a paragraph's end is a boundary, what goes on in lower
+case is none, and a word that is often met before a period but never at a paragraph's end is an
+abbreviation. A second chain, over characters, is trained on sentences of scripts without spaces
+with their punctuation stripped, and cuts stretches of such scripts that have none.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,17 +45,21 @@ LEADING = {
 # Abbreviations that may also end a sentence.
 ENDING = "jr sr inc ltd co corp etc a.m p.m e.g i.e др пр руб коп г гг д.р т.д т.п usw ff f ag kg gmbh pers uhr suiv etc bros plc dept est сл мин час сек кг км"
 
+# Those of them that end a sentence after a number only.
+NUMBERED = "г гг f ff kg кг км"
+
 # Letters of the same shape, so that a word in which some are swapped is still known.
 SHAPES = str.maketrans("аеорсухіјѕАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "aeopcyxijsABEKMHOPCTYXIJSABEZHIKMNOPTYXo")
 
 
 @functools.lru_cache(100_000)
 def plain(word: str) -> str:
-    return word.translate(SHAPES).lower() if len(word) < 16 else word
+    return word.translate(SHAPES).lower()
 
 
 LETTER_ABBREVIATIONS = frozenset(plain(w) for ws in LEADING.values() for w in ws.split())
 MAY_END = frozenset(plain(w) for w in ENDING.split())
+AFTER_NUMBER = frozenset(plain(w) for w in NUMBERED.split())
 
 OPEN = "«“„「『‹‘《〈"
 CLOSE = "»”」』›’》〉"
@@ -70,59 +75,187 @@ EVENT = re.compile(
 LABEL = regex.compile(r"(?m)^[^\S\n]*(?:(?:§+|№|[^\W\d_]{1,12}\.?)[^\S\n]*)?(?:№|No\.|Nr\.|n°)?[^\S\n]*(?:\p{N}+(?:\.\p{N}+)*|[IVXLCDM]{1,6}|[^\W\d_])(?:[.)](?=\s|$)|\.(?=[^\W\d_]))")
 ITEM = regex.compile(r"(?:[-–—•*·▪◦]\s|\(?(?:\p{N}{1,3}(?:\.\p{N}+)*|[^\W\d_]{1,2})[.)])")
 NEXT = regex.compile(r"[\"“„«‘‹「『(\[]?\s?([^\W_]+)")
-BARE = regex.compile(r"[^\w]*(?:\p{N}+(?:\.\p{N}+)*|[IVXLC]+|[^\W\d_])?[^\w]*")
+BARE_LABEL = regex.compile(r"[^\w]*(?:\p{N}+(?:\.\p{N}+)*|[IVXLC]+|[^\W\d_])?[^\w]*")
+ENDED = re.compile(r"(?:[.!?…。！？।॥۔؟:;：；][»”」』\")\]]*|\n)\s*$")
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]+")
+UNPUNCTUATED = regex.compile(r"\s*[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]+\s*")
+PUNCTUATION = regex.compile(r"[\p{P}\s]+")
+PERIOD = re.compile(r"(?<=[\w\u0900-\u0963\u064b-\u0652\u0e31-\u0e4e])\.(?:\s+([^\s])|\s*\Z)")
+FIRST = regex.compile(r"(?:[^\w\n]*(?:\p{N}[\p{N}.]*|[^\W\d_])[.)]\s+)?[^\w\n]*(\p{Lu}[^\W\d_]*)")
+INNER = re.compile(r"[a-zäöüß,]\s+([A-ZÄÖÜ][^\W\d_]*)")
 HAS_LETTER = regex.compile(r"\p{L}")
-ROMAN_AFTER = regex.compile(r"(?:part|title|annex|vol\.|livre|titre|partie|teil|abschnitt|раздела?|част[ьи]|глав[ыае]|тома?)\s*$")
 STRONG = frozenset("!?。！？।॥؟۔")
 GERMAN = regex.compile(r"\b(?:der|die|das|und|den|dem|für|nicht)\b")
-DEVANAGARI_THAI = regex.compile(r"[ऀ-ॣก-๎]")
-CJK = regex.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 
 NEVER, ALWAYS = -30.0, 30.0
-ENOUGH = 50  # a word met so often is judged half by the prior, half by what was learnt
-
+BARE = -25.0  # of a boundary after a unit that is no more than a label: that belongs to the unit it opens
+RARE = 4  # words met less often before a period have no features of their own
+OFTEN = 20  # a word met so often before a period, but at no paragraph's end, is no sentence's last
 
 def is_thai(ch: str) -> bool:
     return "ก" <= ch <= "๎" and ch not in "ฯ฿"
 
 
+def viterbi(scores: list[float], chained: list[bool], again: float) -> list[bool]:
+    """The best labelling of a chain in which "inside" scores 0, a boundary its score, and two boundaries
+    in a row `again` more where `chained`. A chain starts after a boundary."""
+    prev_in, prev_cut = -math.inf, 0.0
+    back: list[tuple[bool, bool]] = []
+    for score, tied in zip(scores, chained):
+        from_cut = prev_cut + (again if tied else 0.0)
+        back.append((prev_cut > prev_in, from_cut > prev_in))
+        prev_in, prev_cut = max(prev_in, prev_cut), max(prev_in, from_cut) + score
+    state, out = prev_cut > prev_in, []
+    for in_from, cut_from in reversed(back):
+        out.append(state)
+        state = cut_from if state else in_from
+    return out[::-1]
+
+
+@functools.lru_cache(None)
+def in_word(ch: str) -> bool:
+    return ch.isalnum() or ch in "'’.-_" or unicodedata.category(ch)[0] == "M"
+
+
 def word_before(p: str, i: int) -> str:
-    """The word that ends right before i, of at most 30 characters."""
-    k, least = i, max(0, i - 30)
-    while k > least and (p[k - 1].isalnum() or p[k - 1] in "'’.-_"):
+    """The word that ends right before i."""
+    k = i
+    while k and in_word(p[k - 1]):
         k -= 1
-    return p[k:i].strip("'’.-_") if k < i and p[i - 1].isalnum() else ""
+    return p[k:i].strip("'’.-_") if k < i and p[i - 1] not in "'’.-_" else ""
+
+
+def context(p: str, i: int) -> tuple[str, str]:
+    """The word right before i, and its name in counts: numbers by their length, initials as one, and a
+    letter or two with the word before them. A small letter is another word than a capital."""
+    w = word_before(p, i)
+    if not w or len(w) > 2 and not w[-1].isdigit():
+        return w, plain(w)
+    if w[-1].isdigit() and not HAS_LETTER.search(w):
+        return w, "#." if "." in w else f"#{min(len(w), 3)}"
+    k = i - len(w)
+    while k and p[k - 1] in " \n\t\u00a0\u202f":
+        k -= 1
+    dot = k > 0 and p[k - 1] == "."
+    before = word_before(p, k - 1 if dot else k)
+    if len(w) == 1 and w.isupper() and w not in "IVX":
+        return w, "A. A" if dot and len(before) == 1 else "A"
+    short = "#" if before[:1].isdigit() else plain(before) if len(before) <= 4 else "_"
+    return w, f"{short}{'.' if dot else ''} {w.translate(SHAPES) if len(w) == 1 else plain(w)}"
+
+
+def level(a: float, b: float) -> int:
+    """A log-odds in steps of one, -4 to 4."""
+    return max(-4, min(4, round(math.log((a + 0.5) / (b + 0.5)))))
 
 
 @dataclass
 class Model:
-    """Trained log-odds: `abbreviation` of words before a period, `starter` of words after one."""
+    """What is known of words, and the trained weights.
 
-    abbreviation: dict[str, float] = field(default_factory=dict)
-    starter: dict[str, float] = field(default_factory=dict)
-    seen: dict[str, int] = field(default_factory=dict)  # how often each word of `abbreviation` was met
+    words: how often each is met before a period that what follows shows to be no boundary, one at a
+    paragraph's end, and one that is followed by neither; starters: how often a capitalised word
+    begins a paragraph, and how often it follows a small letter or comma.
+    """
 
-    def word_before(self, w: str, trust: float = 2.0) -> float:
-        """Evidence against a boundary after `w.`: what was learnt counts for at most `trust` beside the
-        prior if a word is rare, and takes the place of the prior as it is met more often than ENOUGH."""
+    words: dict[str, tuple[int, int, int]] = field(default_factory=dict)
+    starters: dict[str, tuple[int, int]] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
+    unspaced: CharacterChain = field(default_factory=lambda: CharacterChain())  # noqa: PLW0108
+
+    def seed(self, name: str, w: str, nxt: str, follow: str, german: bool) -> bool | None:
+        """A label of a period by counts; by the lists alone where its word is rare. None: unknown."""
+        if name[:1] == "#" and w[-1:].isdigit():
+            if not german or "." in w:
+                return True
+            begins, inside = self.starters.get(follow, (0, 0))
+            return begins > inside if begins + inside >= 4 else len(w) > 2
+        no, end, open_ = self.words.get(name, (0, 0, 0))
         low = plain(w)
-        if len(w) == 1 and w.isupper():
-            prior = 9.0
-        elif low in MAY_END:
-            prior = 0.5
-        elif low in LETTER_ABBREVIATIONS or low.endswith("str"):
-            prior = 6.0
-        elif len(w) == 1 and w.isalpha():
-            prior = 5.0
-        elif "." in w and all(len(x) <= 2 for x in low.split(".")) and not w[0].isdigit():
-            prior = 3.0
+        if name[:1] == "A" and w.isupper() or nxt in "№§%&":
+            return False
+        if nxt.isdigit():  # sentences seldom begin with a number, references always
+            return None if end > no else False
+        if end and end >= no / 20 and end >= open_ / 100:
+            return True if end > no else None
+        if no + open_ >= OFTEN or no and not end:
+            return False
+        return low in MAY_END and (low not in AFTER_NUMBER or name[:1] == "#") or not (low in MAY_END or low in LETTER_ABBREVIATIONS or len(w) == 1 and w.isalpha() or "." in w or low.endswith("str"))
+
+    def features(self, w: str, name: str, gap: str, nxt: str, follow: str, german: bool, marks: str) -> list[str]:
+        """Names of what is there; each has a weight. Words that are hardly met have weights of their own,
+        without their name."""
+        low = plain(w)
+        n = "U" if nxt.isupper() else "d" if nxt.isdigit() else "№" if nxt in "№§%&" else "o" if nxt.isalpha() else "p"
+        if not w:
+            kind = "none"
+        elif w[-1].isdigit() and not HAS_LETTER.search(w):
+            kind = "#." if "." in w else "#" if len(w) > 2 else "##"
+        elif len(w) == 1:
+            kind = "R" if w in "IVX" else "I" if w.isupper() else "i" if w.islower() else "o1"
+        elif "." in w:
+            kind = "a.b" if all(len(x) <= 2 for x in w.split(".")) else "a.bc"
         else:
-            prior = -4.0
-        learnt = self.abbreviation.get(low, 0.0)
-        known = self.seen.get(low, 0)
-        # a capital that stands alone was counted together with the small letter
-        weight = 0.0 if len(w) == 1 else known / (known + ENOUGH)
-        return (1 - weight) * (prior + max(-trust, min(trust, learnt))) + weight * learnt
+            kind = ("Aa" if w[:1].isupper() else "aa" if w[:1].islower() else "oo") + str(min(len(w), 5))
+        no, end, open_ = self.words.get(name, (0, 0, 0))
+        begins, inside = self.starters.get(follow, (0, 0))
+        listed = "lead" if low in LETTER_ABBREVIATIONS or low.endswith("str") else "end" if low in MAY_END else "-"
+        initial = "1" if len(follow) == 1 and nxt.isupper() else "w"
+        start = level(begins, inside) if begins + inside else "?"
+        found = [f"{gap}{n}", f"k={kind}{gap}{n}", f"l={listed}{gap}{n}", f"s={start}", f"ks={kind}{'g' if german else ''}{start}", f"i={kind}{initial}", f"m={marks[:4]}{gap}{n}", f"kl={kind}{listed}"]
+        if no + end + open_ < RARE:
+            return ["rare " + f for f in found]
+        return [*found, f"w={name}", f"f={follow}", f"no={level(no, end)}{n}", f"open={level(no + open_, end)}{gap}{n}"]
+
+    def score(self, w: str, name: str, gap: str, nxt: str, follow: str, german: bool, marks: str) -> float:
+        """The trained score of a boundary; without weights that of the seed label."""
+        if not self.weights:
+            return {True: 5.0, None: 0.0, False: -5.0}[self.seed(name, w, nxt, follow, german)]
+        return sum(self.weights.get(f, 0.0) for f in self.features(w, name, gap, nxt, follow, german, marks))
+
+
+@dataclass
+class CharacterChain:
+    """Boundary or inside for every character of a stretch without punctuation, by the characters around it."""
+
+    weights: dict[str, float] = field(default_factory=dict)
+    longest: int = 0  # of the units it was trained on, all but one in a thousand are shorter
+
+    @staticmethod
+    def features(text: str, i: int) -> tuple[str, ...]:
+        """What stands around the place before character i."""
+        a, b, c, d = text[i - 2 : i - 1], text[i - 1 : i], text[i : i + 1], text[i + 1 : i + 2]
+        return (f"b{b}", f"c{c}", f"ab{a}{b}", f"bc{b}{c}", f"cd{c}{d}", f"abc{a}{b}{c}", f"bcd{b}{c}{d}", f"3{text[max(0, i - 3) : i]}", f"4{text[i : i + 3]}", "bias")
+
+    def decode(self, text: str) -> list[int]:
+        """Places of boundaries."""
+        get = self.weights.get
+        scores = [sum(get(f, 0.0) for f in self.features(text, i)) for i in range(1, len(text))]
+        return [i + 1 for i, cut in enumerate(viterbi(scores, [True] * len(scores), get("again", 0.0))) if cut]
+
+    @classmethod
+    def fit(cls, sentences: list[list[str]], epochs: int = 3) -> CharacterChain:
+        """Averaged perceptron on stretches: lists of sentences that follow one another, their punctuation stripped."""
+        chain, total, step = cls(), {}, 0
+        lengths = sorted(len(x) for run in sentences for x in run)
+        chain.longest = lengths[min(len(lengths) - 1, int(len(lengths) * 0.999))] if lengths else 0
+        for _ in range(epochs):
+            for run in sentences:
+                text, want, at = "".join(run), set(), 0
+                for x in run[:-1]:
+                    at += len(x)
+                    want.add(at)
+                step += 1
+                got = set(chain.decode(text))
+                change = Counter({"again": sum(i + 1 in want for i in want) - sum(i + 1 in got for i in got)})
+                for i in want ^ got:
+                    change.update(dict.fromkeys(chain.features(text, i), 1 if i in want else 0))
+                    change.subtract(dict.fromkeys(chain.features(text, i), 0 if i in want else 1))
+                for f, by in change.items():
+                    chain.weights[f] = chain.weights.get(f, 0.0) + by
+                    total[f] = total.get(f, 0.0) + by * step
+        chain.weights = {f: w - total[f] / (step + 1) for f, w in chain.weights.items()}
+        return chain
 
 
 @dataclass
@@ -130,11 +263,13 @@ class Candidate:
     at: int  # a boundary lies before this character
     score: float
     bare: bool  # the text since the candidate before is no more than a label
+    found: tuple = ()  # what features() takes, where the score is trained
 
 
 class Segmenter:
     def __init__(self, model: Model | None = None):
         self.model = model or Model()
+        self.known: dict[tuple, float] = {}
 
     def units(self, text: str) -> list[tuple[int, int]]:
         """Starts and ends of the units; they cover all of the text but white space."""
@@ -180,32 +315,29 @@ class Segmenter:
         p = s[a:b]
         cands = self.candidates(p)
         if not cands:
+            chain = self.model.unspaced
+            if b - a > chain.longest > 0 and UNPUNCTUATED.fullmatch(p):
+                return [a + i for i in chain.decode(p)]
             return []
-        # Viterbi over two states; the score of "inside" is 0
-        inside, cut = 0.0, 0.0
-        back: list[tuple[bool, bool]] = []
-        prev_in, prev_cut = NEVER * 10, 0.0  # a paragraph starts after a boundary
-        for c in cands:
-            from_in, from_cut = prev_in, prev_cut - (25.0 if c.bare else 0.0)
-            cut = max(from_in, from_cut) + c.score
-            inside = max(prev_in, prev_cut)
-            back.append((prev_cut > prev_in, from_cut > from_in))
-            prev_in, prev_cut = inside, cut
-        state, out = prev_cut > prev_in, []
-        for c, (in_from, cut_from) in zip(reversed(cands), reversed(back)):
-            if state:
-                out.append(a + c.at)
-                state = cut_from
-            else:
-                state = in_from
-        out.reverse()
-        return out
+        cuts = viterbi([self.value(c) for c in cands], [c.bare for c in cands], BARE)
+        return [a + c.at for c, cut in zip(cands, cuts) if cut]
+
+    def value(self, c: Candidate) -> float:
+        """A candidate's score; trained ones stay within what is clamped, and are kept by what they depend on."""
+        if not c.found:
+            return c.score
+        if c.found not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[c.found] = max(-20.0, min(20.0, self.model.score(*c.found)))
+        return self.known[c.found]
 
     def candidates(self, p: str) -> list[Candidate]:
         out: list[Candidate] = []
         quotes: list[tuple[str, bool]] = []  # open quotations: closing mark, opened after a colon
         closers: dict[str, int] = {}  # where each closing mark stands last
-        labels = [m.end() for m in LABEL.finditer(p)] if "." in p or ")" in p else []
+        # a label opens a line that no sentence runs on to
+        labels = [m.end() for m in LABEL.finditer(p) if not m.start() or ENDED.search(p, max(0, m.start() - 8), m.start())] if "." in p or ")" in p else []
         n_label = 0
         german = None
         last, n = 0, len(p)
@@ -222,7 +354,7 @@ class Segmenter:
             if kind == "nl":
                 if i < done or quotes:
                     continue
-                before = p[last if last > i - 40 else max(0, i - 40) : i].rstrip()
+                before = p[last:i].rstrip()
                 if before and (before[-1] in ":;：；" or before[-1] in "»”\")" and before[-2:-1] in (":", ";")):
                     out.append(Candidate(e, ALWAYS, False))
                     last = e
@@ -258,10 +390,10 @@ class Segmenter:
                 continue  # inside a label
             if german is None:
                 german = bool(GERMAN.search(p))
-            score = self.score(p, i, e, at, closed, after_colon, german)
+            score, found = self.judge(p, i, e, at, closed, after_colon, german)
             if score > NEVER:
-                bare = i - last <= 12 and BARE.fullmatch(p, last, i) is not None
-                out.append(Candidate(at, score, bare))
+                bare = i - last <= 12 and BARE_LABEL.fullmatch(p, last, i) is not None
+                out.append(Candidate(at, score, bare, found))
                 last = at
         return out
 
@@ -282,129 +414,181 @@ class Segmenter:
             quotes.append((close, p[max(0, k - 3) : k].rstrip()[-1:] in (":", "：")))
         return False
 
-    def score(self, p: str, i: int, e: int, at: int, closed: bool, after_colon: bool, german: bool) -> float:
-        marks = p[i:e]
-        nxt = p[at]
-        gap = at > e
-        new_line = gap and "\n" in p[e:at]
-        strong = not STRONG.isdisjoint(marks)
-        dots = "…" in marks or ".." in marks
-        if new_line and ITEM.match(p, at):
-            return ALWAYS
-        if nxt.islower():
-            return NEVER
-        if nxt in ",;:)]}、，；：）】%/" or (nxt in "-–—" and not new_line):
-            return NEVER
-        opened = nxt in OPEN or nxt in "\"'([（"
+    def judge(self, p: str, i: int, e: int, at: int, closed: bool, after_colon: bool, german: bool) -> tuple[float, tuple]:
+        """(ALWAYS or NEVER, ()) where it is stated what a unit is; else what the trained score depends on."""
+        marks, nxt, gap = p[i:e], p[at], p[e:at]
+        if "\n" in gap and ITEM.match(p, at):
+            return ALWAYS, ()
+        if nxt.islower() or nxt in ".!?…,;:)]}、，；：）】%/" or nxt in "-–—" and "\n" not in gap:
+            return NEVER, ()
         follow = NEXT.match(p, at)
         word = follow.group(1) if follow else ""
-        if opened and word[:1].islower():
-            return NEVER
-        cased = word[:1].isupper()
-        if closed:
-            if cased:
-                return ALWAYS if gap else 4.0
-            if not word[:1].isdigit():
-                return ALWAYS if after_colon else NEVER
-            return 4.0 if after_colon else -4.0
-        if strong:
-            if word[:1].isdigit() and not gap and any(x in marks for x in "!?"):
-                return 2.0
-            return ALWAYS
-        if dots:
-            return ALWAYS if cased or not word[:1].isdigit() else 1.0
-        # a single period
-        if marks[-1] in ")]）】" and marks[0] == "." and not cased:
-            return -4.0
-        w = word_before(p, i)
+        if (nxt in OPEN or nxt in "\"'([（") and word[:1].islower():
+            return NEVER, ()
+        cased, digit = word[:1].isupper(), word[:1].isdigit()
+        if closed:  # a quotation inside a sentence does not end the sentence
+            return (ALWAYS if cased or after_colon else NEVER), ()
+        if not STRONG.isdisjoint(marks) or ("…" in marks or ".." in marks) and not digit:
+            return ALWAYS, ()
+        w, name = context(p, i)
+        if w and w[-1].isdigit() and nxt.isdigit() and not gap:
+            return NEVER, ()
         if not w:
-            return ALWAYS if gap and (p[i - 1 : i] in "»”\"')%°€$" or new_line) and (cased or not word[:1].isdigit()) else -2.0
-        if DEVANAGARI_THAI.match(w[-1]):
-            return -6.0
-        number = w[-1].isdigit()
-        if number and not HAS_LETTER.search(w):
-            if not gap:
-                return NEVER if nxt.isdigit() else (3.0 if cased and len(w) > 2 else -3.0)
-            if nxt.isdigit() or nxt in "№§":
-                return -5.0
-            if german and "." not in w and "," not in w and len(w) <= 2:
-                return -4.0 + 3.0 * self.model.starter.get(word, 0.0)
-            return 5.0
-        if nxt in "№§%&" or nxt.isdigit():
-            against = self.model.word_before(w, 6.0)  # sentences seldom begin with a number, references always
-            return (-2.0 if nxt in "№%&" else 1.0) - against if gap else NEVER
-        if not gap:
-            if not (w[-1].islower() or CJK.match(w[-1]) or not (w[-1].isupper() or w[-1].isdigit())):
-                return NEVER
-            if CJK.match(nxt) or not cased:
-                return 4.0 if len(w) > 1 and not nxt.isascii() else NEVER
-            return 1.0 - self.model.word_before(w) - (4.0 if len(w) <= 2 else 0.0)
-        low = plain(w)
-        against = self.model.word_before(w)
-        before_w = p[max(0, i - len(w) - 12) : i - len(w)].rstrip()
-        if low in ("г", "гг"):  # a year before a number's end, a town elsewhere
-            return 3.0 if before_w[-1:].isdigit() else -5.0
-        if len(w) == 1 and w in "IVXCDLMІХ" and not p[at + 1 : at + 2] == "." and ROMAN_AFTER.search(p[max(0, i - 14) : i - 1].lower()):
-            return 3.0
-        return 2.0 - against + max(-1.5, min(1.5, self.model.starter.get(word, 0.0)))
-
-
-def observe(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, word, for, against) seen in one text: what its layout alone tells of words around periods."""
-    for par in BLANK.split(text):
+            name = p[i - 1 : i]
+        return 0.0, (w, name, "n" if "\n" in gap else "g" if gap else "0", nxt, word, german, marks)
+
+
+def observe(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, word, which count) seen in one text: what its layout tells of words around periods."""
+    for par in BLANK.split(INVISIBLE.sub("", text)):
         par = par.strip()
         if not par:
             continue
-        for m in regex.finditer(r"([^\W\d_][\w'’.\-]{0,14})\.(?=[^\S\n]+(\S)|\s*\Z)", par):
-            nxt = m.group(2)
-            if nxt is None:
-                yield "abbreviation", plain(m.group(1)), 0, 1
-            elif nxt.islower() or nxt.isdigit() or nxt in ",;№(":
-                yield "abbreviation", plain(m.group(1)), 1, 0
-        words = regex.findall(r"[^\W\d_]+", par[:60])
-        if words and words[0][:1].isupper():
-            yield "starter", words[0], 1, 0
-        for m in regex.finditer(r"[\p{Ll},]\s+(\p{Lu}[^\W\d_]*)", par):
-            yield "starter", m.group(1), 0, 1
-
-
-def train(texts: DataFrame, text_col: str, least: int = 4, share: float = 1e-6) -> Model:
-    """A model from all texts; no texts give the fixed lists alone.
-
-    Words are counted where a text is read and only counts are shuffled, so a repeat counts as often
-    as it stands. What comes to the driver is one row per word met at least `least` times and in at
-    least `share` of all that was seen: at most 1 / share rows.
+        for m in PERIOD.finditer(par):
+            nxt = m.group(1) or ""
+            name = context(par, m.start())[1]
+            if name:
+                yield "word", name[:60], 1 if not nxt else 0 if nxt.islower() or nxt.isdigit() or nxt in ",;:)№§(–-" else 2
+        first = FIRST.match(par)
+        if first:
+            yield "starter", first.group(1), 0
+        if GERMAN.search(par):
+            for m in INNER.finditer(par):
+                yield "starter", m.group(1), 1
+
+
+def labelled(texts: list[str], model: Model) -> list[tuple[list[Candidate], list[bool | None]]]:
+    """Chains of candidates with their labels. Paragraphs that end with a period are joined by a space to the
+    next one, without its label, so that their ends are boundaries of known place inside a chain."""
+    cut, out = Segmenter(model), []
+
+    def add(chain: str, joins: set[int]) -> None:
+        cands = cut.candidates(chain)
+        german = bool(GERMAN.search(chain))
+        labels: list[bool | None] = []
+        for c in cands:
+            if c.at in joins:
+                labels.append(True)
+            elif c.found:
+                w, name, _, nxt, follow, _, _ = c.found
+                labels.append(model.seed(name, w, nxt, follow, german))
+            else:
+                labels.append(c.score > 0)
+        if any(c.found for c in cands):
+            out.append((cands, labels))
+
+    for text in texts:
+        chain, joins = "", set()
+        for par in map(str.strip, BLANK.split(INVISIBLE.sub("", text))):
+            if not par:
+                continue
+            if chain and len(joins) < 8:
+                label = LABEL.match(par)
+                par = par[label.end() :].lstrip() if label else par
+                chain += " "
+                joins.add(len(chain))
+                chain += par
+            else:
+                if chain:
+                    add(chain, joins)
+                chain, joins = par, set()
+            if not par.endswith("."):
+                add(chain, joins)
+                chain, joins = "", set()
+        if chain:
+            add(chain, joins)
+    return out
+
+
+def fit(chains: list[tuple[list[Candidate], list[bool | None]]], model: Model, epochs: int = 3) -> None:
+    """Sets model.weights: an averaged structured perceptron. Where a label is unknown, the chain's own
+    best labelling among those that agree with the known ones stands for it."""
+    # what is known of words that are hardly met before anything is fitted: the lists
+    weights = {f"rare l={listed}{gap}{n}": by for listed, by in (("-", 3.0), ("end", 2.0), ("lead", -3.0)) for gap in "gn" for n in "Uop"}
+    total, step = {}, 0
+    unknown = Model(starters=model.starters)  # the same chains once more as if no word of theirs had been met
+    features: dict[tuple, tuple[list[str], list[str]]] = {}
+    for cands, _ in chains:
+        for c in cands:
+            if c.found and c.found not in features:
+                features[c.found] = (model.features(*c.found), unknown.features(*c.found))
+    for epoch in range(2 * epochs):
+        for cands, labels in chains:
+            own = [features[c.found][epoch % 2] if c.found else () for c in cands]
+            scores = [max(-20.0, min(20.0, sum(weights.get(f, 0.0) for f in names))) if names else c.score for c, names in zip(cands, own)]
+            bare = [c.bare for c in cands]
+            got = viterbi(scores, bare, BARE)
+            want = viterbi([s if y is None else 1000.0 if y else -1000.0 for s, y in zip(scores, labels)], bare, BARE)
+            step += 1
+            for names, x, y, s in zip(own, got, want, scores):
+                if names and (x != y or abs(s) < 1):  # a margin of 1: what is right by little is moved as well
+                    by = 1.0 if y else -1.0
+                    for f in names:
+                        weights[f] = weights.get(f, 0.0) + by
+                        total[f] = total.get(f, 0.0) + by * step
+    model.weights = {f: w - total.get(f, 0.0) / (step + 1) for f, w in weights.items()}
+
+
+def stripped_runs(texts: list[str], model: Model, most: int = 400) -> list[list[str]]:
+    """Stretches of scripts without spaces as lists of their sentences without punctuation."""
+    cut, out = Segmenter(model), []
+    for text in texts:
+        if len(out) == most:
+            break
+        run: list[str] = []
+        for a, b in cut.units(text):
+            bare = PUNCTUATION.sub("", text[a:b])
+            if len(bare) >= 4 and UNSPACED.fullmatch(bare):
+                run.append(bare)
+            if run and (len(run) == 8 or bare != run[-1]):
+                out.append(run)
+                run = []
+        if len(run) > 1:
+            out.append(run)
+    return out[:most]
+
+
+def train(texts: DataFrame, text_col: str, rows: int = 1000, least: int = 4, share: float = 1e-6) -> Model:
+    """A model of texts; no texts give the fixed lists alone.
+
+    Words are counted over all texts, where they are read; only counts are shuffled, so a repeat counts
+    as often as it stands. What comes to the driver of them is one row per word met at least `least`
+    times and in at least `share` of all that was seen: at most 1 / share rows. The weights are fitted
+    on at most `rows` texts, the first ones in the order of a hash among about twice as many.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yes, no = Counter(), Counter()
+        seen: Counter[tuple[str, str, int]] = Counter()
 
         def counts() -> pa.RecordBatch:
-            keys = list(yes)
-            batch = pa.RecordBatch.from_pydict(
-                {"kind": pa.array([k for k, _ in keys], pa.string()), "word": pa.array([w for _, w in keys], pa.string()), "a": pa.array([yes[k] for k in keys], pa.int64()), "b": pa.array([no[k] for k in keys], pa.int64())}
-            )
-            yes.clear()
-            no.clear()
+            keys = list(seen)
+            batch = pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _, _ in keys], pa.string()), "word": pa.array([w for _, w, _ in keys], pa.string()), "which": pa.array([i for _, _, i in keys], pa.int32()), "n": pa.array([seen[k] for k in keys], pa.int64())})
+            seen.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for kind, word, a, b in observe(text or ""):
-                    yes[kind, word] += a
-                    no[kind, word] += b
-            if len(yes) > 200_000:
+                seen.update(observe(text or ""))
+            if len(seen) > 200_000:
                 yield counts()
         yield counts()
 
-    seen = texts.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(counted, "kind string, word string, a bigint, b bigint").groupBy("kind", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    seen = cut_lineage(seen.where(F.col("a") + F.col("b") > 0))
-    total = seen.agg(F.sum(F.col("a") + F.col("b")).alias("n")).first()["n"] or 0
+    given = texts.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    seen = given.mapInArrow(counted, "kind string, word string, which int, n bigint").groupBy("kind", "word").agg(*[F.sum(F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(3)], F.sum("n").alias("n"))
+    seen = cut_lineage(seen)
+    total = seen.agg(F.sum("n").alias("n")).first()["n"] or 0
     model = Model()
-    for r in seen.where(F.col("a") + F.col("b") >= max(least, share * total)).collect():
-        getattr(model, r["kind"])[r["word"]] = math.log((r["a"] + 0.5) / (r["b"] + 0.5))
-        if r["kind"] == "abbreviation":
-            model.seen[r["word"]] = r["a"] + r["b"]
+    for r in seen.where(F.col("n") >= max(least, share * total)).collect():
+        if r["kind"] == "word":
+            model.words[r["word"]] = (r["n0"], r["n1"], r["n2"])
+        else:
+            model.starters[r["word"]] = (r["n0"], r["n1"])
+    n = given.count()
+    if n:
+        chosen = given.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) < math.ceil(min(1.0, 2 * rows / n) * (1 << 40)))  # bounded before texts move
+        sample = [r["_text"] for r in chosen.limit(rows).collect()]
+        fit(labelled(sample, model), model)
+        model.unspaced = CharacterChain.fit(stripped_runs(sample, model))
     return model
 
 

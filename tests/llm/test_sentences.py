@@ -1,10 +1,10 @@
-import math
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from actloom.llm.sentences import Model, Segmenter, split_sentences, train
+from actloom.llm.sentences import CharacterChain, Model, Segmenter, fit, labelled, observe, split_sentences, train
 
 CUT = Segmenter(Model())
 
@@ -86,8 +86,8 @@ def test_all_texts_are_counted(spark):
     """A word that stands in 5 of 6,000 texts is learnt, with all of its places."""
     rows = [(i, f"Item {i} is kept. See qvx. {i}" if i % 1200 == 0 else f"Item {i} is kept.") for i in range(6000)]
     model = train(spark.createDataFrame(rows, "id int, t string"), "t")
-    assert model.abbreviation["qvx"] == pytest.approx(math.log(5.5 / 0.5))
-    assert model.abbreviation["kept"] == pytest.approx(math.log(0.5 / 5995.5))
+    assert model.words["qvx"] == (5, 0, 0)
+    assert model.words["kept"] == (0, 5995, 5)
 
 
 def test_what_is_learnt_outweighs_the_lists(spark):
@@ -100,9 +100,41 @@ def test_what_is_learnt_outweighs_the_lists(spark):
     assert [text[a:b] for a, b in Segmenter().units(text)] != units
 
 
+def test_letters_by_the_word_before_them():
+    """A letter ends sentences after one word and is an abbreviation after others; no list says so."""
+    texts = [f"It is kept in box k. {w} and in lot q. k. Then {w} goes on.\n\nIt {w} ends in lot q. k.\n\nThe roll of box k. Zim{w} is {w}." for w in ("long", "short", "old", "new") for _ in range(20)]
+    model = Model()
+    for text in texts:
+        for kind, word, which in observe(text):
+            counts = model.words if kind == "word" else model.starters
+            counts[word] = tuple(n + (i == which) for i, n in enumerate(counts.get(word, (0, 0, 0) if kind == "word" else (0, 0))))
+    fit(labelled(texts, model), model)
+    units = ["See lot q. k.", "Box k. Zimzim is full.", "The end."]
+    text = " ".join(units)
+    assert [text[a:b] for a, b in Segmenter(model).units(text)] == units
+
+
+def test_scripts_without_punctuation():
+    """Held-out stretches of a small grammar without marks: at least nine of ten boundaries, and of ten cuts nine right."""
+    rnd = random.Random(3)
+    who, what, end = ["申請人", "機関長", "担当者", "委員会"], ["書面", "記録", "計画書", "台帳", "通知"], ["を提出する", "を確認した", "を保存する", "は無効である"]
+    run = lambda: ["".join((rnd.choice(who), "は", rnd.choice(what), rnd.choice(end))) for _ in range(6)]
+    chain = CharacterChain.fit([run() for _ in range(150)])
+    good = cut = wanted = 0
+    for _ in range(40):
+        held, at = run(), 0
+        want = {at := at + len(x) for x in held[:-1]}
+        got = set(chain.decode("".join(held)))
+        good, cut, wanted = good + len(got & want), cut + len(got), wanted + len(want)
+    assert good >= 0.9 * wanted and good >= 0.9 * cut
+    text = "".join(run() + run() + run())
+    assert len(Segmenter(Model(unspaced=chain)).units(text)) > 10
+    assert len(Segmenter(Model(unspaced=chain)).units(text[:8])) == 1 and len(Segmenter().units(text)) == 1
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "One two. Three.", "x"), (1, "One two. Three.", "x"), (2, "", "x"), (3, None, "x"), (4, " \n ", "x")], "id int, t string, char_start string")
     got = sorted((r.id, r.char_start, r.char_end) for r in split_sentences(df, "id", "t", Model()).collect())
     assert got == [(1, 0, 8), (1, 9, 15)]
     assert split_sentences(df.limit(0), "id", "t", Model()).count() == 0
-    assert train(df.limit(0), "t").starter == {}
+    assert train(df.limit(0), "t").starters == {}
