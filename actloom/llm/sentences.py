@@ -19,6 +19,7 @@ with their punctuation stripped, and cuts stretches of such scripts that have no
 from __future__ import annotations
 
 import functools
+import heapq
 import math
 import re
 import unicodedata
@@ -67,11 +68,14 @@ INVISIBLE = regex.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]+")
 BLANK = regex.compile(r"\n[^\S\n]*\n\s*|\x0c\s*")
 THAI = "ก-ฯะ-ฺเ-๎"
 EVENT = re.compile(
-    r"(?P<end>[.!?…。！？।॥۔؟]+(?:[»”」』›’》〉\"')\]）】]|[   ]»)*)"
+    r"(?P<end>(?:[!?…。！？।॥۔؟]|\.(?!\d|[^\S\n]*[a-zа-яё]))+(?:[»”」』›’》〉\"')\]）】]|[   ]»)*)"
     r"|(?P<nl>\n)"
     rf"|(?<=[{THAI}])(?P<th>[^\S\n]+)(?=[{THAI}])"
     r"|(?P<q>[«“„「『‹《〈»”」』›》〉\"])"
 )
+END = re.compile(r"(?:[!?…。！？।॥۔؟]|\.(?!\d|[^\S\n]*[a-zа-яё]))+(?:[»”」』›’》〉\"')\]）】]|[   ]»)*")
+STOP = re.compile(r"[.!?…。！？।॥۔؟\n«“„「『‹《〈»”」』›》〉\"]")
+THAI_ANY = re.compile(f"[{THAI}]")
 LABEL = regex.compile(r"(?m)^[^\S\n]*(?:(?:§+|№|[^\W\d_]{1,12}\.?)[^\S\n]*)?(?:№|No\.|Nr\.|n°)?[^\S\n]*(?:\p{N}+(?:\.\p{N}+)*|[IVXLCDM]{1,6}|[^\W\d_])(?:[.)](?=\s|$)|\.(?=[^\W\d_]))")
 ITEM = regex.compile(r"(?:[-–—•*·▪◦]\s|\(?(?:\p{N}{1,3}(?:\.\p{N}+)*|[^\W\d_]{1,2})[.)])")
 NEXT = regex.compile(r"[\"“„«‘‹「『(\[]?\s?([^\W_]+)")
@@ -92,6 +96,28 @@ BARE = -25.0  # of a boundary after a unit that is no more than a label: that be
 RARE = 4  # words met less often before a period have no features of their own
 OFTEN = 20  # a word met so often before a period, but at no paragraph's end, is no sentence's last
 
+def events(p: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of end marks, line breaks, quotation marks and Thai spaces. Without Thai letters a
+    class of characters is searched for, which is several times as fast as alternatives are."""
+    if THAI_ANY.search(p):
+        for m in EVENT.finditer(p):
+            yield m.lastgroup, m.start(), m.end()
+        return
+    m = STOP.search(p)
+    while m:
+        i = m.start()
+        ch = p[i]
+        end = i + 1
+        if ch == "\n":
+            yield "nl", i, end
+        elif mark := END.match(p, i):
+            end = mark.end()
+            yield "end", i, end
+        elif ch != ".":
+            yield "q", i, end
+        m = STOP.search(p, end)
+
+
 def is_thai(ch: str) -> bool:
     return "ก" <= ch <= "๎" and ch not in "ฯ฿"
 
@@ -190,7 +216,7 @@ class Model:
         if not w:
             kind = "none"
         elif w[-1].isdigit() and not HAS_LETTER.search(w):
-            kind = "#." if "." in w else "#" if len(w) > 2 else "##"
+            kind = ("#." if "." in w else "#" if len(w) > 2 else "##") + ("g" if german else "")
         elif len(w) == 1:
             kind = "R" if w in "IVX" else "I" if w.isupper() else "i" if w.islower() else "o1"
         elif "." in w:
@@ -202,10 +228,10 @@ class Model:
         listed = "lead" if low in LETTER_ABBREVIATIONS or low.endswith("str") else "end" if low in MAY_END else "-"
         initial = "1" if len(follow) == 1 and nxt.isupper() else "w"
         start = level(begins, inside) if begins + inside else "?"
-        found = [f"{gap}{n}", f"k={kind}{gap}{n}", f"l={listed}{gap}{n}", f"s={start}", f"ks={kind}{'g' if german else ''}{start}", f"i={kind}{initial}", f"m={marks[:4]}{gap}{n}", f"kl={kind}{listed}"]
+        found = [f"{gap}{n}", f"k={kind}{gap}{n}", f"l={listed}{gap}{n}", f"s={start}{n}", f"ks={kind}{start}{n}", f"i={kind}{initial}{n}", f"m={marks[:4]}{gap}{n}", f"kl={kind}{listed}{n}"]
         if no + end + open_ < RARE:
             return ["rare " + f for f in found]
-        return [*found, f"w={name}", f"f={follow}", f"no={level(no, end)}{n}", f"open={level(no + open_, end)}{gap}{n}"]
+        return [*found, f"w={name}", f"f={follow}", f"no={level(no, end)}", f"no={level(no, end)}{n}", f"open={level(no + open_, end)}{gap}{n}"]
 
     def score(self, w: str, name: str, gap: str, nxt: str, follow: str, german: bool, marks: str) -> float:
         """The trained score of a boundary; without weights that of the seed label."""
@@ -337,13 +363,20 @@ class Segmenter:
         quotes: list[tuple[str, bool]] = []  # open quotations: closing mark, opened after a colon
         closers: dict[str, int] = {}  # where each closing mark stands last
         # a label opens a line that no sentence runs on to
-        labels = [m.end() for m in LABEL.finditer(p) if not m.start() or ENDED.search(p, max(0, m.start() - 8), m.start())] if "." in p or ")" in p else []
+        labels = []
+        if "." in p or ")" in p:
+            line = 0
+            while True:
+                if (not line or ENDED.search(p, max(0, line - 8), line)) and (m := LABEL.match(p, line)):
+                    labels.append(m.end())
+                line = p.find("\n", line) + 1
+                if not line:
+                    break
         n_label = 0
         german = None
         last, n = 0, len(p)
         done = -1
-        for m in EVENT.finditer(p):
-            kind, i, e = m.lastgroup, m.start(), m.end()
+        for kind, i, e in events(p):
             if kind == "q":
                 self.quote(p, i, quotes, closers)
                 continue
@@ -457,9 +490,10 @@ def observe(text: str) -> Iterator[tuple[str, str, int]]:
                 yield "starter", m.group(1), 1
 
 
-def labelled(texts: list[str], model: Model) -> list[tuple[list[Candidate], list[bool | None]]]:
+def labelled(texts: list[str], model: Model, frequent: int = 3000) -> list[tuple[list[Candidate], list[bool | None]]]:
     """Chains of candidates with their labels. Paragraphs that end with a period are joined by a space to the
-    next one, without its label, so that their ends are boundaries of known place inside a chain."""
+    next one, without its label, so that their ends are boundaries of known place inside a chain. The
+    words of the texts and the `frequent` ones that are met most are chains of their own."""
     cut, out = Segmenter(model), []
 
     def add(chain: str, joins: set[int]) -> None:
@@ -497,6 +531,12 @@ def labelled(texts: list[str], model: Model) -> list[tuple[list[Candidate], list
                 chain, joins = "", set()
         if chain:
             add(chain, joins)
+    # what is known of a word holds before a capital as well, where it has not been met
+    known = [(name.rpartition(" ")[2], name, False) for name in heapq.nlargest(frequent, model.words, key=lambda name: (sum(model.words[name]), name))]
+    met = [(c.found[0], c.found[1], c.found[5]) for cands, _ in out for c in cands if c.found]
+    for w, name, german in dict.fromkeys(met + known):
+        if name[:1] not in "#A" and (label := model.seed(name, w, "X", "", german)) is not None:
+            out += 3 * [([Candidate(0, 0.0, False, (w, name, "g", "X", "", german, "."))], [label])]
     return out
 
 
