@@ -25,7 +25,8 @@ STATS = "n_words bigint, mean_word_length double, symbol_share double, punctuate
 MARKS = "\u00ad\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u180e\u200b-\u200f\u2060\u3099\ufeff"
 WORD = re.compile(rf"[^\W_][^\W_{MARKS}]*(?:[{MARKS}]+[^\W_]*)*")
 SYMBOL = re.compile(rf"[^{MARKS}\w\s.,;:!?…。！？、，；：।॥؟،؛\"'«»“”„‘’「」『』()\[\]（）\-–—№%/]")
-LINE_END = re.compile(r"[.!?…。！？।॥؟;:；：,，、][\"'»”“』」)）]*$")
+LINE_MARKS = frozenset(".!?…。！？।॥؟;:；：，,、")
+LINE_CLOSERS = "\"'»”“』」)）"
 SENTENCE_END = re.compile(r"[.!?…。！？।॥؟](?=[\"'»”“』」)）\]\s]|$)|[。！？।]")
 MARKED = re.compile(r"(?:[-–—*•·▪◦●○■□‣➢►✓+]|\(?(?:\d{1,4}(?:\.\d{1,3}){0,4}|[^\W\d_]|[ivxlcIVXLC]{1,6})[.)])[ \t]+(?=\S)|[•·▪◦●■‣]")
 LEADER = re.compile(r"(?:\.{3,}|(?:\. ){3,}|_{3,}|·{3,})\s*\d*\s*$|…{2,}\s*\d+$|\s{2,}\d{1,4}$|[^\W\d_],\s*\d{1,4}(?:[-–, ]+\d{1,4})*$")
@@ -160,12 +161,12 @@ def junk_lines(text: str, lines: list[str]) -> list[bool]:
     def junk(x: str) -> bool:
         body = x.strip()
         n = len(body)
-        digits = sum(map(str.isdigit, body[:40]))
+        digits = sum(map(str.isdigit, body))
         if n >= 8 and digits and (HEX.match(body) or HEX_DUMP.match(body)):
             return True
         if keyed and JSON_KEY.search(body) or BRACKETS.match(body) or n >= 60 and " " not in body and body.isascii():
             return True
-        if n >= 12 and digits > 0.6 * min(n, 40) and sum(map(str.isdigit, body)) > 0.85 * n:
+        if n >= 12 and digits > 0.85 * n:
             return True
         if long and (tokens := LONG_TOKEN.findall(body)) and sum(map(len, tokens)) > 0.5 * n and not set(body) <= set("-=_+ "):
             return True
@@ -275,7 +276,7 @@ def describe(text: str, common: CommonWords) -> tuple[int, float, float, float,
         n_words,
         letters / n_words if n_words else 0.0,
         len(SYMBOL.findall(text)) / solid if solid else 0.0,
-        sum(1 for x in lines if LINE_END.search(x[-6:])) / len(lines) if lines else 0.0,
+        sum(1 for x in lines if x.rstrip(LINE_CLOSERS)[-1:] in LINE_MARKS) / len(lines) if lines else 0.0,
         common.share(low, words, n_words, letters),
     )
     return (*stats, classify(text, stats, words))
