@@ -26,10 +26,13 @@ def build_session(app: str = "actloom", cores: int | str = "*", **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named in spark.checkpoint.dir; makes one of its own only where that is unset."""
+    """Uses the folder named in spark.checkpoint.dir; makes one of its own only in local mode, as in
+    tests. On a cluster a folder of one machine would be lost on the others, so there it must be named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="actloom-checkpoint-"))
 
 

@@ -56,8 +56,9 @@ def anchor_key(row: dict, name: str) -> tuple | None:
     kind = row["fragment_type"] or ""
     if name == "section_path":
         return (kind, row["heading"], row["section_path"]) if row["heading"] and row["section_path"] else None
-    value = row["chunk_index"] if name == "same_index" else row[name]
-    return (kind, value) if value or name == "same_index" and value is not None else None
+    if name == "same_index":  # the place alone, whatever the type
+        return (row["chunk_index"],) if row["chunk_index"] is not None else None
+    return (kind, row[name]) if row[name] else None
 
 
 class Pairing:
@@ -109,12 +110,16 @@ class Pairing:
                 yield a, b, name
 
     def scored(self) -> Iterator[tuple[dict, dict, str, float]]:
-        """D07, D08. Leftovers that are alike, the best first. Only pairs with one section path, one
-        heading of a kind, or a place near by are compared."""
+        """D07, D08. Leftovers that are alike, the best first. One path is enough for a match, as is one label
+        of a kind; only pairs with one of these, one section path, one heading of a kind, or a place near
+        by are compared, since no other can be a match."""
         cands = []
         paths, headings, places = defaultdict(list), defaultdict(list), defaultdict(list)
+        keys, labels = defaultdict(list), defaultdict(list)
         for r in self.new.values():
             kind = r["fragment_type"] or ""
+            keys[r["path_key"] or None].append(r)
+            labels[kind, r["canonical_label"] or None].append(r)
             paths[r["section_path"] or None].append(r)
             headings[kind, r["heading"] or None].append(r)
             places[kind, r["chunk_index"]].append(r)
@@ -123,6 +128,8 @@ class Pairing:
             near = [r for d in range(-2, 3) for r in places.get((kind, at + d), ())]
             near += paths[a["section_path"]] if a["section_path"] else []
             near += headings[kind, a["heading"]] if a["heading"] else []
+            near += keys[a["path_key"]] if a["path_key"] else []
+            near += labels[kind, a["canonical_label"]] if a["canonical_label"] else []
             for b in {r["chunk_id"]: r for r in near}.values():
                 if a["text_hash"] and a["text_hash"] == b["text_hash"]:
                     continue
@@ -131,9 +138,11 @@ class Pairing:
                 same_kind = kind == (b["fragment_type"] or "")
                 path = bool(a["section_path"]) and a["section_path"] == b["section_path"]
                 head = bool(a["heading"]) and a["heading"] == b["heading"]
-                reason = "section_path" if path and alike >= SECTION else "heading" if head and same_kind and alike >= TEXT else "high_text_similarity" if same_kind and alike >= HIGH and gap <= 2 else None
+                key = bool(a["path_key"]) and a["path_key"] == b["path_key"]
+                label = same_kind and bool(a["canonical_label"]) and a["canonical_label"] == b["canonical_label"]
+                reason = "path_key" if key else "canonical_label" if label else "section_path" if path and alike >= SECTION else "heading" if head and same_kind and alike >= TEXT else "high_text_similarity" if same_kind and alike >= HIGH and gap <= 2 else None
                 if reason:
-                    score = alike + {0: 0.10, 1: 0.07, 2: 0.03, 3: 0.03}.get(gap, 0.0) + 0.05 * same_kind + 0.20 * path + 0.10 * head
+                    score = alike + {0: 0.10, 1: 0.07, 2: 0.03, 3: 0.03}.get(gap, 0.0) + 0.05 * same_kind + (0.45 if key else 0.30 if label else 0.20 * path) + 0.10 * head
                     cands.append((-score, -alike, gap, at, b["chunk_index"] or 0, a["chunk_id"], b["chunk_id"], reason))
         for _, alike, *_, i, j, reason in sorted(cands):
             if i in self.old and j in self.new:

@@ -1,23 +1,21 @@
 """Exact vector search with filters before and a lexical rerank after, for whole query tables.
 
-Queries are a stated set and come in blocks: a block of query vectors is handed to each task as
-one matrix, the rows stream past it once, and each task keeps its best k of every query, so only
-tasks x queries x k rows are shuffled.
+Queries are a stated set. They come in blocks and the rows in slices; a task holds a block and a
+slice and keeps its best k of every query, so only slices x queries x k rows go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.functions.text import collapse, word_set
 from actloom.operators.topk import top
 
-BLOCK = 4096
+BLOCK = 4096  # queries of a task
+SLICE = 50_000  # rows of a task
 
 
 def norm(v: Column) -> Column:
@@ -45,45 +43,46 @@ def embedding_text(heading: Column, path: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.when(F.length(heading) > 0, heading), F.when((F.length(path) > 0) & ~path.eqNullSafe(heading), path), text)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+def matrix(table: pa.Table, vector: str) -> np.ndarray:
+    """Vectors of a column as rows of length 1; a zero vector stays as it is."""
+    m = np.stack([np.asarray(v, np.float64) for v in table[vector].to_pylist()])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
     """K05. (query_id, id, score, rank): for each query its k rows of the highest cosine; a row is no match of itself.
 
-    Null vectors match nothing. The queries are split into blocks of `block` by hash, so what a task
-    holds is bounded however many there are; rows are read once for each block.
+    Null vectors match nothing. Queries are hashed into blocks and rows into slices, and every block
+    meets every slice in a task of its own on the executors: each holds one of either, keeps its best k
+    of every query, and only those go on. Nothing but two counts comes to the driver.
     """
-    n = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(n):
-        part = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(n)) == b)).select(id_col, vector).toPandas()  # at most about one block
-        if part.empty:
-            continue
-        ids = part[id_col].to_numpy()
-        q = np.stack([np.asarray(v, np.float64) for v in part[vector]])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            top_score = np.full((len(ids), k), -np.inf)
-            top_id = np.zeros((len(ids), k), np.int64)
-            for pdf in batches:
-                pdf = pdf[pdf[vector].notna()]
-                if pdf.empty:
-                    continue
-                m = np.stack([np.asarray(v, np.float64) for v in pdf[vector]])
-                own = pdf[id_col].to_numpy()
-                score = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+    queries, rows = queries.where(F.col(vector).isNotNull()).select(id_col, vector), rows.where(F.col(vector).isNotNull()).select(id_col, vector)
+    blocks, slices = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // slice_rows))
+    part = lambda of: F.pmod(F.xxhash64(id_col), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = queries.select(id_col, vector, part(blocks).alias("_block"), every(slices).alias("_slice"))
+    right = rows.select(id_col, vector, every(blocks).alias("_block"), part(slices).alias("_slice"))
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        ids, found = q[id_col].to_numpy(), ([], [], [])
+        if q.num_rows and r.num_rows:
+            asked = matrix(q, vector)
+            top_score, top_id = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+            for at in range(0, r.num_rows, 4096):
+                some = r.slice(at, 4096)
+                own = some[id_col].to_numpy()
+                score = asked @ matrix(some, vector).T
                 score[ids[:, None] == own[None, :]] = -np.inf
                 all_score = np.concatenate([top_score, np.round(score, 12)], 1)
                 all_id = np.concatenate([top_id, np.broadcast_to(own, score.shape)], 1)
                 order = np.lexsort((all_id, -all_score), axis=1)[:, :k]
                 top_score, top_id = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_id, order, 1)
             good = np.isfinite(top_score)
-            yield pd.DataFrame({"query_id": np.repeat(ids, k)[good.ravel()], id_col: top_id[good], "score": top_score[good]})
+            found = (np.repeat(ids, k)[good.ravel()], top_id[good], top_score[good])
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", id_col, "score"])
 
-        found = rows.select(id_col, vector).mapInPandas(best, f"query_id bigint, {id_col} bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"query_id bigint, {id_col} bigint, score double, rank int")
-    return top(out, ["query_id"], [F.desc("score"), id_col], k)
+    met = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInArrow(best, f"query_id bigint, {id_col} bigint, score double")
+    return top(met, ["query_id"], [F.desc("score"), id_col], k)
 
 
 def lexical_bonus(query: str, heading: Column, path: Column, text: Column) -> Column:

@@ -26,7 +26,8 @@ n0 AS (SELECT from_id pair_id, ch.* FROM pairs JOIN ch ON version_id = to_id)
 
 def _anchor_sql(name: str) -> str:
     parts = {"path_key": ["path_key"], "canonical_label": ["canonical_label"], "section_path": ["heading", "section_path"], "same_index": ["chunk_index::VARCHAR"]}[name]
-    return f"CASE WHEN {' AND '.join(f'length({p}) > 0' for p in parts)} THEN concat_ws('|', coalesce(fragment_type, ''), {', '.join(parts)}) END"
+    kind = [] if name == "same_index" else ["coalesce(fragment_type, '')"]  # a place is one whatever the type
+    return f"CASE WHEN {' AND '.join(f'length({p}) > 0' for p in parts)} THEN concat_ws('|', {', '.join([*kind, *parts])}) END"
 
 
 def _passes(old: str, new: str, names: list[str], hashed: bool, tag: str) -> tuple[str, str, str, list[str]]:

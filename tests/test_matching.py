@@ -49,6 +49,16 @@ def test_leftovers_by_section_path(spark):
     assert ops(diff(spark, rows, scored=False)) == [("added", None, 2009), ("removed", 1001, None)]
 
 
+def test_equal_texts_at_one_place_under_another_type(spark):
+    rows = [chunk(1, 1, "same text", "p:1", kind="point"), chunk(1, 2, "same text", "p:2"), chunk(2, 1, "same text", "q:1", kind="article"), chunk(2, 2, "same text", "q:2")]
+    assert ops(diff(spark, rows)) == [("unchanged", 1001, 2001), ("unchanged", 1002, 2002)]
+
+
+def test_one_path_or_label_is_enough(spark):
+    rows = [chunk(1, 1, "abcdefgh", "p:1", kind="point"), chunk(2, 8, "12345678", "p:1", kind="article")]
+    assert [(r.operation, r.match_reason) for r in diff(spark, rows).collect()] == [("modified", "path_key")]
+
+
 def test_every_chunk_is_used_once(spark):
     rnd = random.Random(3)
     rows = [chunk(v, i, rnd.choice("abcdef") * 30, rnd.choice([None, "", "p:1", "p:2"]), heading=rnd.choice([None, "h"]), section=rnd.choice([None, "s"])) for v in (1, 2) for i in range(40)]

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from actloom.functions import entities, rules
@@ -83,6 +87,48 @@ def test_splits_keep_groups_and_shares(spark):
     assert leaks.n_shared == 10
 
 
+def greedy(rows, share):
+    """The rule of group_split over (group, label) rows, group after group."""
+    groups, overall = {}, Counter(x for _, x in rows)
+    for g, x in rows:
+        groups.setdefault(g, Counter())[x] += 1
+    target, taken, out = max(1, round(len(rows) * share)), Counter(), set()
+    top = lambda c: max(c.items(), key=lambda kv: (kv[1], kv[0]))[0]
+    for g in sorted(groups, key=lambda g: (-groups[g].total(), overall[top(groups[g])], g)):
+        if taken.total() >= target:
+            break
+        then, size = taken + groups[g], groups[g].total()
+        if then.total() <= target + max(1, size // 2) or sum(abs(then[x] / target - overall[x] / len(rows)) for x in overall) < 0.3:
+            out.add(g)
+            taken = then
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_group_split_is_greedy(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(f"g{min(rnd.randrange(60), rnd.randrange(60), rnd.randrange(9 + 10 * seed))}", rnd.choice("aab" if seed % 2 else "abcd")) for _ in range(500)]
+    rows += [("hot", "a")] * (200 * seed)
+    got = corpus.group_split(spark.createDataFrame(rows, "g string, l string").repartition(5), "g", "l", 0.15 + 0.05 * seed)
+    assert {r.g for r in got.where("split = 'test'").collect()} == greedy(rows, 0.15 + 0.05 * seed)
+    assert got.count() == len(rows)
+
+
+def test_group_split_of_nothing(spark):
+    assert corpus.group_split(spark.createDataFrame([(None, "a")], "g string, l string"), "g", "l", 0.2).count() == 0
+
+
+def test_label_minimums_and_nearest(spark):
+    df = spark.createDataFrame([(f"e{i:03}", "ab"[i % 2], "train" if i > 3 else "test") for i in range(60)], "id string, l string, split string")
+    out = corpus.label_minimums(df, "l", "id", "test", "train", 5)
+    assert {(r.l, r.id) for r in out.where("split = 'test'").collect()} == {("ab"[i % 2], f"e{i:03}") for i in range(10)} and out.count() == 60
+    rnd = random.Random(1)
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(120, None)]
+    v = spark.createDataFrame(vectors, "id bigint, v array<double>")
+    few = {(r.query_id, r.id, r["rank"]) for r in search.nearest(v.where("id % 20 = 0"), v, "id", "v", 3).collect()}
+    assert len(few) == 18 and few == {(r.query_id, r.id, r["rank"]) for r in search.nearest(v.where("id % 20 = 0"), v, "id", "v", 3, block=2, slice_rows=17).collect()}
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, "a", "a"), (1, "a", "b"), (1, "b", "b"), (1, None, "b")], "m int, t string, p string")
     cells = metrics.confusion(df, ["m"], "t", "p")
