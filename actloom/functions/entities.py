@@ -37,8 +37,8 @@ UNITS = {"HOUR": ("час", "hour", "stunde", "heure", "小时", "時間"), "MIN
 
 RULES = (
     Pattern("deadline", r"(?i)(?P<n>\d{1,4})\s*(?:-?\s*)(?P<work>(?:рабочих|working|ouvrés|工作)\s*)?(?P<unit>дн\p{L}*|день|час\p{L}*|минут\p{L}*|недел\p{L}*|месяц\p{L}*|сут\p{L}*|days?|hours?|weeks?|months?|tage?n?|stunden?|wochen?|monate?n?|jours?|heures?|semaines?|mois|日|小时|天)", _period, 0.97),
-    Pattern("condition", r"(?i)(?:в случае|при условии|если|provided that|if |wenn |falls |si |若|场合)[^.;\n]{3,120}", lambda m: m.group().strip().lower(), 0.90),
-    Pattern("obligation", r"(?i)(?:обязан\p{L}*|должен|должн[аы]|shall|must|muss|müssen|doit|doivent|应当)\s*(?P<what>[^.;\n]{3,120})", lambda m: m.group("what").strip().lower(), 0.94),
+    Pattern("condition", r"(?i)(?:в случае|при условии|если|provided that|if |wenn |falls |si |若|场合)[^.;\n]{3,}", lambda m: m.group().strip().lower(), 0.90),
+    Pattern("obligation", r"(?i)(?:обязан\p{L}*|должен|должн[аы]|shall|must|muss|müssen|doit|doivent|应当)\s*(?P<what>[^.;\n]{3,})", lambda m: m.group("what").strip().lower(), 0.94),
     Pattern("reference", r"(?i)(?:ст|п|ч|гл|art|sec|para|abs|nr|kap|chap)\.\s*\d+(?:\.\d+)*", lambda m: " ".join(m.group().lower().split()), 0.92),
     Pattern("amount", r"(?i)\d[\d\s,.]*\d?\s*(?:тыс\.\s*)?(?:руб|eur\b|euro|€|円|元|บาท)|EUR\s*\d[\d,.]*", lambda m: "".join(m.group().split()).lower(), 0.90),
     Pattern("authority", r"(?i)(?:лицензирующая инспекция|комиссия по \p{L}+|уполномоченный орган|competent authority|licensing office|review board|zuständige behörde|registerstelle|autorité compétente|主管部门|許可機関)", lambda m: m.group().lower(), 0.92),

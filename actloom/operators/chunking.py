@@ -233,7 +233,7 @@ def headed(text: str) -> list[tuple]:
         if not groups or _HEADING.match(line) or _TEXTUAL.match(line) or _DECIMAL.match(line) or _BRACKET.match(line):
             groups.append([])
         groups[-1].append(line)
-    return [(i, "paragraph", 6, "", g[0][:80], f"heading:{i}", g[0][:80], "", b := "\n".join(g), hashlib.sha256(b.encode()).hexdigest()) for i, g in enumerate(groups, 1)]
+    return [(i, "paragraph", 6, "", g[0], f"heading:{i}", g[0], "", b := "\n".join(g), hashlib.sha256(b.encode()).hexdigest()) for i, g in enumerate(groups, 1)]
 
 
 def chunk_documents(df: DataFrame, keys: list[str], text: str, cut: Callable[[str], list[tuple]] = chunk) -> DataFrame:

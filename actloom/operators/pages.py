@@ -19,8 +19,10 @@ _GOES_ON = re.compile(r"^[a-zа-яё(\[«\"']")
 
 
 def page_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, page_no, line_no, from_end, line): the lines of the pages of each text that are not blank."""
-    pages = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(prepare_pages(F.col(text)), "\f")).alias("page_no", "page"))
+    """(key, page_no, line_no, from_end, line): the lines of the pages of each text that are not blank.
+    Empty pages have no number."""
+    filled = F.filter(F.split(prepare_pages(F.col(text)), "\f"), lambda x: F.length(strip(x)) > 0)
+    pages = df.where(F.col(text).isNotNull()).select(key, F.posexplode(filled).alias("page_no", "page"))
     lines = F.filter(F.transform(F.split("page", "\n"), lambda x: strip(x)), lambda x: F.length(x) > 0)
     return pages.select(key, "page_no", lines.alias("_l")).select(key, "page_no", F.size("_l").alias("_n"), F.posexplode("_l").alias("line_no", "line")).select(key, "page_no", "line_no", (F.col("_n") - F.col("line_no")).alias("from_end"), "line")
 

@@ -188,10 +188,10 @@ def b29(spark, sf_dir):
     return load(spark, sf_dir, "annotation", "importance").groupBy("importance", m.alias("mapped")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B31_stable_hash", "SELECT doc_id, sha256(concat_ws('||', coalesce(lang, ''), coalesce(source, ''), coalesce(title, ''))) AS k FROM documents")
+@query("B31_stable_hash", "SELECT doc_id, sha256(to_json({'lang': lang, 'source': source, 'title': title})::VARCHAR) AS k FROM documents")
 def b31(spark, sf_dir):
-    c = [F.coalesce(F.col(x), F.lit("")) for x in ("lang", "source", "title")]
-    return load(spark, sf_dir, "documents", "doc_id", "lang", "source", "title").select("doc_id", F.sha2(F.concat_ws("||", *c), 256).alias("k"))
+    record = F.to_json(F.struct("lang", "source", "title"), {"ignoreNullFields": "false"})  # names in order; null is not ""
+    return load(spark, sf_dir, "documents", "doc_id", "lang", "source", "title").select("doc_id", F.sha2(record, 256).alias("k"))
 
 
 @query("B32_B33_flags", "SELECT DISTINCT chunk_id, " + ", ".join(f"regexp_matches({collapsed('text')}, '{p}')::INT AS {n}" for n, p in FLAGS.items()) + ", CASE WHEN length(text) < 120 THEN 'short' WHEN length(text) < 260 THEN 'medium' ELSE 'long' END AS bucket FROM chunks WHERE text IS NOT NULL")
@@ -212,10 +212,17 @@ def b36(spark, sf_dir):
     return a.select("annotation_id", text.parse_bool(F.col("requires_manual_review").cast("string")).alias("review"))
 
 
-@query("B37_personal_data_flags", "SELECT count(*) FILTER (WHERE regexp_matches(text, '[0-9]{4} [0-9]{6}')) AS passport_like, count(*) FILTER (WHERE regexp_matches(text, '[a-z0-9._]+@[a-z0-9]+\\.[a-z]+')) AS email_like FROM documents")
+# What passports, addresses and telephone numbers look like.
+PERSONAL = {
+    "passport_like": r"[0-9]{4} [0-9]{6}",
+    "email_like": r"[a-z0-9._]+@[a-z0-9]+\.[a-z]+",
+    "phone_like": r"(?:\+7|8)\s?\(?\d{3}\)?[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}",
+}
+
+
+@query("B37_personal_data_flags", "SELECT " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {n}" for n, p in PERSONAL.items()) + " FROM documents")
 def b37(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "text")
-    return d.agg(F.count_if(F.col("text").rlike("[0-9]{4} [0-9]{6}")).alias("passport_like"), F.count_if(F.col("text").rlike(r"[a-z0-9._]+@[a-z0-9]+\.[a-z]+")).alias("email_like"))
+    return load(spark, sf_dir, "documents", "text").agg(*[F.count_if(F.col("text").rlike(p)).alias(n) for n, p in PERSONAL.items()])
 
 
 @query("B38_json_flatten", "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")

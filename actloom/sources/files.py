@@ -37,7 +37,8 @@ def xml_text(data: bytes) -> str:
 
 
 def docx_text(data: bytes) -> str:
-    """A02. Paragraphs and tables in the order of the body; cells of a row joined by ' | '."""
+    """A02. Paragraphs and tables in the order of the body; cells of a row joined by ' | ', the paragraphs
+    of a cell by line ends. A table inside a cell comes as the paragraphs of that cell, once."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     words = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
@@ -46,7 +47,8 @@ def docx_text(data: bytes) -> str:
         if node.tag == f"{_W}p":
             lines.append(words(node))
         elif node.tag == f"{_W}tbl":
-            lines += [" | ".join(c for c in (words(cell) for cell in row.iter(f"{_W}tc")) if c) for row in node.iter(f"{_W}tr")]
+            cell_text = lambda cell: "\n".join(x for x in map(words, cell.iter(f"{_W}p")) if x)
+            lines += [" | ".join(c for c in map(cell_text, row.findall(f"{_W}tc")) if c) for row in node.findall(f"{_W}tr")]
     return "\n".join(x for x in lines if x)
 
 

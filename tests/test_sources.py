@@ -65,3 +65,18 @@ def test_streamed_versions_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select id from once").count() == 2
+
+
+def test_docx_cells_and_nested_tables():
+    import io
+    import zipfile
+
+    from actloom.sources.files import docx_text
+
+    par = lambda *ts: "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ts)
+    table = lambda *cells: f"<w:tbl><w:tr>{''.join(f'<w:tc>{c}</w:tc>' for c in cells)}</w:tr></w:tbl>"
+    body = par("start") + table(par("first", "second"), par("outer") + table(par("inner")))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    assert docx_text(data.getvalue()) == "start\nfirst\nsecond | outer\ninner"
