@@ -35,6 +35,7 @@ HTML_CELL = re.compile(r"</?t[dhr]\b", re.I)
 WIDE_GAP = re.compile(r"(?<=\S)[  ]{2,}(?=\S)")
 HEX = re.compile(r"(?:[0-9a-fA-F]{2}[\s:]?){8,}$")
 HEX_DUMP = re.compile(r"^[0-9a-fA-F]{4,}[:\s]\s*(?:[0-9a-fA-F]{2,4}\s+){4,}")
+DIGITS, NO_DIGITS = re.compile(r"\d+"), re.compile(r"\D{8}")
 JSON_KEY = re.compile(r"\"[^\"]{1,40}\":\s*(?:[\"\d\[{]|true|false|null|-)")
 BRACKETS = re.compile(r"[{}\[\],;\s]+$")
 CODE = re.compile(r"(?:\bfunction\b|\bvar\b|=>|\);|\{\s*$|^\s*\}|</?(?:div|span|a|li|ul|script|p|br|img|nav)\b|&(?:amp|quot|nbsp|lt|gt);|https?://|%[23][0-9A-F]%)")
@@ -161,12 +162,12 @@ def junk_lines(text: str, lines: list[str]) -> list[bool]:
     def junk(x: str) -> bool:
         body = x.strip()
         n = len(body)
-        digits = sum(map(str.isdigit, body))
-        if n >= 8 and digits and (HEX.match(body) or HEX_DUMP.match(body)):
+        if n >= 8 and (HEX.match(body) or HEX_DUMP.match(body)) and any(map(str.isdigit, body)):
             return True
         if keyed and JSON_KEY.search(body) or BRACKETS.match(body) or n >= 60 and " " not in body and body.isascii():
             return True
-        if n >= 12 and digits > 0.85 * n:
+        # eight signs in a row that are no digits are more than the rest of a line of under 53 may hold
+        if n >= 12 and not (n < 53 and NO_DIGITS.search(body)) and sum(map(len, DIGITS.findall(body))) > 0.85 * n:
             return True
         if long and (tokens := LONG_TOKEN.findall(body)) and sum(map(len, tokens)) > 0.5 * n and not set(body) <= set("-=_+ "):
             return True
