@@ -14,7 +14,7 @@ import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actloom.core.session import cut_lineage
@@ -50,19 +50,19 @@ class Strategy:
         return [tagged(name) for name in self.fields]
 
 
-def written(df: DataFrame) -> tuple[DataFrame, int]:
-    """df as a written table, and how many of its rows are edges: counted by the write itself."""
-    seen = Observation()
-    table = cut_lineage(df.observe(seen, F.count_if("is_edge").alias("edges")))
-    return table, seen.get["edges"] or 0
+def written(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df as a written table, and whether any of its rows are edges. (An Observation would count them in
+    the write, but it leaves the session with an object that models cannot be serialised with.)"""
+    table = cut_lineage(df)
+    return table, not table.where("is_edge").isEmpty()
 
 
 def contract(edges: DataFrame, ns: str = "ns", seed: int = 1, most_rounds: int = 200) -> DataFrame:
     """(ns, node, root) of every vertex of edges (ns, a, b); root is one vertex of its component.
 
     Null ends and loops are left out; repeated and reversed edges count once. No edges, no rows.
-    Vertices are numbered once, so the rounds move 64-bit numbers. A round is one job: it writes its
-    map and the renamed edges to the checkpoint folder as one table, and the write counts the edges.
+    Vertices are numbered once, so the rounds move 64-bit numbers. A round writes its
+    map and the renamed edges to the checkpoint folder as one table.
     Joins are equi-joins on a vertex against a map with one row a vertex, which AQE splits if hot.
     """
     named = edges.where("a is not null and b is not null and a <> b").select(ns, "a", "b").distinct()
@@ -71,9 +71,9 @@ def contract(edges: DataFrame, ns: str = "ns", seed: int = 1, most_rounds: int =
     number = lambda end: vertices.select(ns, F.col("node").alias(end), F.col("v").alias(f"_{end}"))
     lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     numbered = named.join(number("a"), [ns, "a"]).join(number("b"), [ns, "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    left, n = written(numbered.select(lo, hi).distinct().withColumn("is_edge", F.lit(True)))
+    left, more = written(numbered.select(lo, hi).distinct().withColumn("is_edge", F.lit(True)))
     maps: list[DataFrame] = []
-    while n:
+    while more:
         if len(maps) == most_rounds:
             raise RuntimeError(f"edges are left after {most_rounds} rounds")
 
@@ -89,7 +89,7 @@ def contract(edges: DataFrame, ns: str = "ns", seed: int = 1, most_rounds: int =
             return df.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
 
         fewer = renamed(renamed(left.select("a", "b"), "a"), "b").where("a <> b").select(lo, hi).distinct()
-        both, n = written(fewer.withColumn("is_edge", F.lit(True)).unionByName(step.select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(False).alias("is_edge"))))
+        both, more = written(fewer.withColumn("is_edge", F.lit(True)).unionByName(step.select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(False).alias("is_edge"))))
         maps.append(both.where("not is_edge").select(F.col("a").alias("node"), F.col("b").alias("root")))
         left = both.where("is_edge").select("a", "b")
     if not maps:
